@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 40
 #: Words remembered by a Python worker; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 def byte_names() -> dict[str, int]:
@@ -47,16 +47,18 @@ class ByteBPE:
         top = max(self.bytes_of) + 1
         self.rank = np.full(top, -1, np.int64)  # of the rule that makes a token; -1: a single byte
         self.left, self.right = np.zeros(top, np.int64), np.zeros(top, np.int64)
-        self.rules: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rules: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         vocab = model["vocab"]
         for n, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            self.rules[x, y] = (n, z)
+            self.rules[x, y] = n
+            self.made.append(z)
             if self.rank[z] < 0:
                 self.rank[z], self.left[z], self.right[z] = n, x, y
         keys = np.array([(x << 32) | y for x, y in self.rules], np.int64)
-        ranks = np.array([r for r, _ in self.rules.values()], np.int64)
+        ranks = np.array(list(self.rules.values()), np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], ranks[order]
         self.single = [0] * 256
@@ -65,30 +67,33 @@ class ByteBPE:
                 self.single[s[0]] = i
         # A token that its own bytes do not merge to can never be proposed.
         self.token = {s: i for i, s in self.bytes_of.items() if len(s) == 1 or self.merge(s) == [i]}
-        self.longest = max(map(len, self.token))
+        self.reach: dict[bytes, int] = {}  # length of the longest token by its first two bytes
+        for t in self.token:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
         self.split = regex.compile(SPLIT)
         self.text_of = self.bytes_of | {i: s.encode() for s, i in self.special.items()}
+        self.name = {i: str(i) for i in self.text_of}
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.verified = self.merged = 0
 
     def merge(self, s: bytes) -> list[int]:
         """Exact result: the first pair of the lowest rule is merged, again and again."""
-        ids = [self.single[b] for b in s]
-        while len(ids) > 1:
-            at, best = -1, NEVER
-            for k in range(len(ids) - 1):
-                r = self.rules.get((ids[k], ids[k + 1]))
-                if r is not None and r[0] < best:
-                    at, best = k, r[0]
-            if at < 0:
-                break
-            ids[at : at + 2] = [self.rules[ids[at], ids[at + 1]][1]]
+        ids, get, made = [self.single[b] for b in s], self.rules.get, self.made
+        ranks = [get(p, NEVER) for p in zip(ids, ids[1:], strict=False)]
+        while ranks and (r := min(ranks)) != NEVER:
+            k = ranks.index(r)
+            ids[k : k + 2] = [made[r]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get((ids[k - 1], ids[k]), NEVER)
+            if k < len(ranks):
+                ranks[k] = get((ids[k], ids[k + 1]), NEVER)
         return ids
 
     def propose(self, s: bytes) -> list[int]:
-        out, i, n, token = [], 0, len(s), self.token
+        out, i, n, token, reach = [], 0, len(s), self.token, self.reach
         while i < n:
-            j = min(n, i + self.longest)
+            j = min(n, i + reach.get(s[i : i + 2], 1))
             while (t := token.get(s[i:j])) is None:
                 j -= 1
             out.append(t)
@@ -122,8 +127,6 @@ class ByteBPE:
 
     def learn(self, words: set[str]) -> None:
         """Remember the tokens of new words."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         raw = [w.encode() for w in words]
         made = [self.propose(s) for s in raw]
         size = np.array([len(m) for m in made], np.int64)
@@ -138,7 +141,11 @@ class ByteBPE:
         for k, (w, s, m) in enumerate(zip(words, raw, made, strict=True)):
             if k in failed:
                 m = self.merge(s)
-            self.known[w] = (",".join(map(str, m)), len(m), tuple(m))
+            self.known[w] = self.entry(m)
+
+    def entry(self, ids: list[int]) -> tuple[str, int, bytes]:
+        """What is remembered of a word: its ids joined by commas, their number, and the bytes that the ids decode to."""
+        return ",".join([self.name[i] for i in ids]), len(ids), b"".join([self.text_of[i] for i in ids])
 
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens of a text."""
@@ -149,22 +156,21 @@ class ByteBPE:
             out += [part] if part in self.special else self.split.findall(part)
         return out
 
-    def encode_all(self, texts: list[str]) -> list[list[tuple[str, int, tuple[int, ...]]]]:
-        """For each text the entries of its words: ids joined by commas, their number, ids."""
+    def encode_all(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
+        """For each text the entries of its words."""
         cut, known = [self.pieces(t) for t in texts], self.known
-        for s, i in self.special.items():
-            known[s] = (str(i), 1, (i,))
-        new = {w for ws in cut for w in set(ws) if w not in known}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                known.update({s: (str(i), 1, (i,)) for s, i in self.special.items()})
-                new = {w for ws in cut for w in ws if w not in known}
+        new = set().union(*cut).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = set().union(*cut)
+        for s in new & self.special.keys():
+            known[s] = self.entry([self.special[s]])
+        if new := new - self.special.keys():
             self.learn(new)
         return [[known[w] for w in ws] for ws in cut]
 
     def encode(self, text: str) -> list[int]:
-        return [i for e in self.encode_all([text])[0] for i in e[2]]
+        return [int(i) for e in self.encode_all([text])[0] for i in e[0].split(",")]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -208,7 +214,7 @@ def encoder(spark: SparkSession, path: str):
     def encode(texts: pd.Series) -> pd.Series:
         bpe, out = loaded(spec.value), []
         for held in batches(texts):
-            out += [np.fromiter((i for e in entries for i in e[2]), np.int32) for entries in bpe.encode_all(held)]
+            out += [np.array([i for e in entries for i in e[0].split(",")], dtype=np.int32) for entries in bpe.encode_all(held)]
         return pd.Series(out, dtype=object)
 
     return encode
@@ -235,11 +241,10 @@ def digests(spark: SparkSession, path: str):
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:
         bpe, rows = loaded(spec.value), []
-        get = bpe.text_of.__getitem__
         for held in batches(texts):
             for entries in bpe.encode_all(held):
                 ids = hashlib.sha256(",".join([e[0] for e in entries]).encode())
-                raw = b"".join([get(i) for e in entries for i in e[2]])
+                raw = b"".join([e[2] for e in entries])
                 text = raw.decode("utf-8", "replace").encode()
                 rows.append((sum([e[1] for e in entries]), ids.hexdigest(), hashlib.sha256(text).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])

@@ -28,8 +28,8 @@ from .common import Stash, n_words_of
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SEED = 17
-#: Hash buckets of a source, as hex digits of the seeded hash: 16 ** 4.
-BUCKET_DIGITS = 4
+#: Hash buckets of a source, as hex digits of the seeded hash: 16 ** 3.
+BUCKET_DIGITS = 3
 
 
 def water_level(sizes: DataFrame, max_epochs: float) -> DataFrame:
@@ -79,7 +79,7 @@ def repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = cut.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     # 2: all of the bucket is within the rest, 1: the rest runs out in it
     cut = cut.select("source", "bucket", "source_size", "target", "whole", "rest", "before", F.when(F.col("before") + F.col("words") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0).alias("state"))
-    # At most sources x 16 ** 4 rows; Spark broadcasts them while they are small and else joins by source and bucket, which the buckets spread.
+    # At most sources x 16 ** 3 rows; Spark broadcasts them while they are small and else joins by source and bucket, which the buckets spread.
     cut = cut.withColumnsRenamed({"source": "s", "bucket": "b"})
     mine = every.withColumn("bucket", bucket)
     mine = mine.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))

@@ -24,7 +24,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Stash, components
 
@@ -173,26 +172,33 @@ def links(fps: DataFrame, radius: int, stash: Stash, tile: int = TILE) -> DataFr
     return stash.keep(dealt.groupBy("x", "y").applyInPandas(compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """One row a document: its id, fingerprint (16 hex digits) and component_id, the least id it reaches over links."""
-    spark = docs.sparkSession
-    stash = Stash(spark, "simhash")
-    every = docs.select(F.col(id_col).alias("_id"), fingerprints(shingle)(F.col(text_col).cast("binary")).alias("fp"))
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, tile: int) -> DataFrame:
+    """(id, th, fp, component_id) of each document; th is a hash of the whole text, which tells rows of equal ids apart."""
+    stash = Stash(docs.sparkSession, "simhash")
+    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), fingerprints(shingle)(F.col(text_col).cast("binary")).alias("fp"))
     every = stash.keep(every)
-    least = every.groupBy("fp").agg(F.min("_id").alias("least"))
+    least = every.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(least.select("fp"), radius, stash, tile), stash)
-    named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = stash.keep(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    # fp -> component, only where it differs from the fp's own least id: few rows
-    out = named.join(names, "root").select("fp", "component_id")
-    out = every.join(out, "fp")
-    return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The documents whose id names their component: one of each group; rows with a null id all stay."""
-    found = near_duplicates(docs, id_col, text_col, **params)
-    out = found.where((F.col(id_col) != F.col("component_id"))).select(F.col(id_col)).distinct()
-    kept = docs.join(out, id_col, "left_anti")
-    same = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.MapType)]
-    return kept if same else kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    return every.join(named.join(names, "root").select("fp", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """One row a document: its id, fingerprint (16 hex digits) and component_id, the least id it reaches over links."""
+    found = grouped(docs, id_col, text_col, shingle, radius, tile)
+    return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """One document of each group: the one whose id names the component. Of equal rows one stays; rows with a null id all stay."""
+    found = grouped(docs, id_col, text_col, shingle, radius, tile).where("id is not null")
+    marks = found.groupBy("id", "th").agg((F.first("id") != F.first("component_id")).alias("gone"), (F.count("*") > 1).alias("again"))
+    marks = Stash(docs.sparkSession, "simhash").keep(marks.where("gone or again"))
+    same = (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_th"))
+    kept = docs.join(marks.where("gone").select(F.col("id").alias("_id"), F.col("th").alias("_th")), same, "left_anti")
+    if marks.where("again and not gone").limit(1).count():
+        twice = marks.where("again and not gone").select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+        once = kept.join(twice, same, "left_semi").withColumn("_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_key"]).drop("_key")
+        kept = kept.join(twice, same, "left_anti").unionByName(once)
+    return kept
