@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing, simhash, toxicity
+from . import bpe, linededup, mixing, quality, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0).alias("predicted"))
 
 
+#: Fixed by the contract: (host, path, verdict) of the listed URLs.
+LISTED = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame(LISTED, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), listed).drop("url")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -52,11 +72,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_simhash, op5_mixing, op6_line_dedup, op7_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_quality, op4_simhash, op5_mixing, op6_line_dedup, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": MIXING_SQL}
+    return {"op2_url_filter": URL_SQL, "op5_mixing": MIXING_SQL}
 
 
 MIXING_SQL = """
@@ -74,3 +94,14 @@ r AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.whole, g.target - g.wh
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN run <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
 """
+
+URL_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p AS (SELECT page_id, coalesce(lower(regexp_extract(rest, '^[^/?#]*')), '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+l(rhost, rpath, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+                              ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+f AS (SELECT page_id, rhost || rpath AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC) AS k
+      FROM p JOIN l ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f ON p.page_id = f.page_id AND k = 1
+"""
