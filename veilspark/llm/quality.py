@@ -5,11 +5,14 @@ cutoffs are chosen per stratum from labelled documents: a rule rejects texts
 whose measure lies above its cutoff. For each rule and cutoff of a fixed grid
 the false rejections among the good labelled documents of the stratum are
 counted; the exact binomial tail gives the p-value of "the rate of false
-rejections is above ALPHA". Cutoffs with a p-value of at most DELTA divided by
-the number of tests in all strata (Bonferroni) are safe together with
-probability 1 - DELTA. ALPHA is shared among the rules, so a text that passes
-base limits is falsely rejected with probability ALPHA at most, per stratum.
-The lowest safe cutoff of each rule is used; a rule without one rejects nothing.
+rejections is above the rule's share of ALPHA". Within a rule and stratum,
+cutoffs are tested from the highest down until one fails (fixed sequence);
+across rules and strata the level is DELTA divided by their number
+(Bonferroni). So all cutoffs that pass are safe together with probability
+1 - DELTA, and in each stratum ALPHA at most of the good texts are rejected. Of
+the safe cutoffs of a rule the one is used that rejects the largest share of
+labelled bad documents, less COST times the share of good ones; a rule for which
+that is never positive rejects nothing.
 
 Null and empty texts have no words and fail the base limits. A null stratum is
 a stratum of its own. Without labels no rule rejects anything.
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import Stash, words_of
 
 #: Greatest rate of false rejections of a stratum, over all rules together.
-ALPHA = 0.02
+ALPHA = 0.03
+#: Shares of bad documents that a share of good ones must outweigh.
+COST = 10
 #: Probability that any of the chosen cutoffs exceeds its rate.
 DELTA = 0.05
 WINDOW = 8
@@ -113,27 +118,31 @@ def binomial_tail(k: str, n: str, p: str) -> str:
     return f"if({k} >= {n} * {p}, 1D, {tail})"
 
 
-def cutoffs(holdout: DataFrame, stratum_col: str, alpha: float = ALPHA, delta: float = DELTA, grid: tuple[float, ...] = GRID) -> DataFrame:
-    """(stratum, rule, cutoff, n, k, p_value): the lowest safe cutoff of each rule.
+def cutoffs(holdout: DataFrame, stratum_col: str, label_col: str, alpha: float = ALPHA, delta: float = DELTA, grid: tuple[float, ...] = GRID) -> DataFrame:
+    """(stratum, rule, cutoff, n, k, bad, caught, p_value): the chosen cutoff of each rule that has one.
 
-    holdout: good documents with their measures. One row for each and rule, added
-    up by the grid cell of the measure, so the shuffle holds strata x rules x cells.
+    holdout: labelled documents (1: good) with their measures. They are added up
+    by the grid cell of each measure before the shuffle, which holds strata x
+    rules x cells rows a task; what follows works on those sums.
     """
     alike = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(f"double({e})").alias("x")) for r, e in RULES.items()])
-    each = holdout.select(F.col(stratum_col).alias("stratum"), F.explode(alike).alias("m")).select("stratum", "m.rule", "m.x")
-    cells = F.lit(0)
+    each = holdout.select(F.col(stratum_col).alias("stratum"), (F.col(label_col) == 1).alias("good"), F.explode(alike).alias("m"))
+    cell = F.lit(0)
     for c in grid:
-        cells = cells + F.when(F.col("x") > c, 1).otherwise(0)
-    each = each.groupBy("stratum", "rule", cells.alias("cell")).count()
+        cell = cell + F.when(F.col("m.x") > c, 1).otherwise(0)
+    each = each.groupBy("stratum", "m.rule", "good", cell.alias("cell")).count()
     tests = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(c).alias("cutoff")) for i, c in enumerate(grid)]))
-    sums = each.select("stratum", "rule", "cell", "count", tests.alias("t"))
-    sums = sums.groupBy("stratum", "rule", "t.cutoff").agg(F.sum("count").cast("double").alias("n"), F.sum(F.when(F.col("cell") >= F.col("t.i"), F.col("count")).otherwise(0)).cast("double").alias("k"))
-    p = alpha / len(RULES)
-    tested = sums.withColumn("p_value", F.expr(binomial_tail("k", "n", f"{p!r}D")))
-    tested = tested.withColumn("tests", F.count("*").over(Window.partitionBy()))
-    safe = tested.where(F.col("p_value") * F.col("tests") <= delta)
-    best = F.min(F.struct("cutoff", "n", "k", "p_value")).alias("b")
-    return safe.groupBy("stratum", "rule").agg(best).select("stratum", "rule", "b.*")
+    above = F.when(F.col("cell") >= F.col("t.i"), F.col("count")).otherwise(0)
+    sums = each.withColumn("t", tests).groupBy("stratum", "rule", "t.cutoff")
+    sums = sums.agg(*[F.sum(F.when(g, x).otherwise(0)).cast("double").alias(n) for n, g, x in (("n", F.col("good"), F.col("count")), ("k", F.col("good"), above), ("bad", ~F.col("good"), F.col("count")), ("caught", ~F.col("good"), above))])
+    rate = alpha / len(RULES)
+    tested = sums.where("n > 0").withColumn("p_value", F.expr(binomial_tail("k", "n", f"{rate!r}D")))
+    tested = tested.withColumn("tests", F.size(F.collect_set(F.struct("stratum", "rule")).over(Window.partitionBy())))
+    down = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    safe = tested.withColumn("worst", F.max("p_value").over(down)).where(F.col("worst") * F.col("tests") <= delta)
+    gain = F.col("caught") / F.greatest("bad", F.lit(1.0)) - COST * F.col("k") / F.col("n")
+    best = F.max(F.struct(gain.alias("gain"), "cutoff", "n", "k", "bad", "caught", "p_value")).alias("b")
+    return safe.groupBy("stratum", "rule").agg(best).where("b.gain > 0").select("stratum", "rule", *[f"b.{c}" for c in ("cutoff", "n", "k", "bad", "caught", "p_value")])
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -141,9 +150,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     stash = Stash(docs.sparkSession, "quality")
     slim = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
     every = stash.keep(measured(slim).drop("text").withColumn("base_failed", base_failed()))
-    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).where("y = 1")
-    holdout = every.where("not base_failed").join(good.select("id"), "id", "left_semi")
-    chosen = cutoffs(holdout, "stratum", alpha, delta)
+    marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    chosen = cutoffs(every.where("not base_failed").join(marked, "id"), "stratum", "y", alpha, delta)
     # One row a stratum, a map of rule to cutoff.
     chosen = chosen.groupBy(F.col("stratum").alias("_s")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut"))
     chosen = stash.keep(chosen)
