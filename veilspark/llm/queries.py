@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing, quality, simhash, toxicity, urls
+from . import ann, bpe, linededup, mixing, quality, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digests(docs, vocabulary()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_quality, op4_simhash, op5_mixing, op6_line_dedup, op7_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_quality, op4_simhash, op5_mixing, op6_line_dedup, op7_bpe, op9_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
