@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, linededup, mixing, quality, simhash, toxicity, urls
+from . import ann, bpe, linededup, mixing, quality, secrets, simhash, toxicity, urls
+from .common import Stash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +76,16 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pairs = Stash(spark, "secrets").keep(secrets.pair_table(docs))
+    model = secrets.train(secrets.findings(spark), pairs)
+    out = secrets.scan(docs, model, pairs)
+    return out.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "secret")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_quality, op4_simhash, op5_mixing, op6_line_dedup, op7_bpe, op9_ann)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_quality, op4_simhash, op5_mixing, op6_line_dedup, op7_bpe, op9_ann, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
