@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, linededup, mixing, quality, secrets, simhash, toxicity, urls
+from . import ann, bpe, ctw, linededup, mixing, quality, secrets, simhash, toxicity, urls
 from .common import Stash
 
 
@@ -72,6 +72,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digests(docs, vocabulary()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.held_out(parts=7))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -85,7 +89,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_quality, op4_simhash, op5_mixing, op6_line_dedup, op7_bpe, op9_ann, op10_secrets)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_quality, op4_simhash, op5_mixing, op6_line_dedup, op7_bpe, op8_ctw, op9_ann, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
