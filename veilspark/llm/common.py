@@ -44,6 +44,8 @@ class Stash:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        # Shuffle files go as soon as the table they made is written.
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.root = f"{shared_dir(spark)}/stash-{name}-{uuid.uuid4().hex}"
         self.n = 0
 
