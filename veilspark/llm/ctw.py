@@ -290,7 +290,8 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = math.log10(total + distinct + 1)
     least = frequent_from(words, max_words)
-    common = {bytes(r["word"]): math.log10(r["n"] + 1) for r in words.where(F.col("n") >= least).toLocalIterator()}  # max_words at most
+    frequent = words.where(F.col("n") >= least).toArrow()  # max_words at most
+    common = {w: math.log10(n + 1) for w, n in zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True)}
     common = spark.sparkContext.broadcast(common)
 
     n_strings = strings_seen.count()
@@ -311,8 +312,9 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     passes = max(1, -(-n_strings // max_strings))
     out = None
     for turn in range(passes):
-        mine = codes.where(F.pmod(bucket_col(F.col("s"), buckets), F.lit(passes)) == turn).toPandas()  # max_strings on average
-        table = spark.sparkContext.broadcast((mine["s"].to_numpy().view(np.uint64), mine["v"].to_numpy(np.float32)))
+        mine = codes.where(F.pmod(bucket_col(F.col("s"), buckets), F.lit(passes)) == turn).select("s", F.col("v").cast("float")).toArrow()  # max_strings on average
+        table = spark.sparkContext.broadcast((mine["s"].to_numpy().view(np.uint64), mine["v"].to_numpy()))
+        del mine
         one = score_udf(common if turn == 0 else None, table, buckets, passes, turn).asNondeterministic()
         part = every.select("id", "held", F.xxhash64("raw").alias("th"), one("raw").alias("r")).select("id", "held", "th", "r.*")
         part = stash.keep(part.withColumn("uid", F.monotonically_increasing_id()))
@@ -373,7 +375,7 @@ def summit(dealt: DataFrame) -> dict[int, Level]:
         return pd.DataFrame({"kind": np.repeat([0, 1], [len(short), len(up)]), "key": np.concatenate([short, up]).view(np.int64), "x": np.concatenate([sums.astype(float), log_p])})
 
     # 65,536 strings of two bytes and 65,280 nodes at most, whatever the corpus.
-    rows = dealt.groupBy("bucket").applyInPandas(roots, "kind int, key long, x double").groupBy("kind", "key").agg(F.sum("x").alias("x")).toPandas().sort_values("key")
+    rows = dealt.groupBy("bucket").applyInPandas(roots, "kind int, key long, x double").groupBy("kind", "key").agg(F.sum("x").alias("x")).toArrow().to_pandas().sort_values("key")
     two, up = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
     if not len(two):
         return dict.fromkeys(range(TOP), EMPTY)

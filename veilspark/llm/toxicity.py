@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))
     best = seen.where(F.col("a") >= LEAST_TEXTS).select("w", odds.alias("o"), (odds / spread).alias("z")).where("z > 3 and o > 1").orderBy(F.desc("z"), "w").limit(LEXICON)
     lexicon = {r["w"].encode(): float(r["o"]) for r in best.collect()}
-    rows = sample.select(feature_udf(lexicon)("raw").alias("x"), "y", "fold").toPandas()  # max_train rows of FEATURES numbers
+    rows = sample.select(feature_udf(lexicon)("raw").alias("x"), "y", "fold").toArrow().to_pandas()  # max_train rows of FEATURES numbers
     x, y, held = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(float), rows["fold"].to_numpy() == 0
     trees = Boosted().fit(x[~held], y[~held])
     knots, values = isotonic(trees.raw(x[held]), y[held])
