@@ -127,12 +127,10 @@ def truncated(text: Column, limit: int = MAX_TEXT) -> Column:
     return F.struct(F.substring(text, 1, limit).alias("text"), (F.length(text) > limit).alias("truncated"))
 
 
-@F.pandas_udf("string")
 def _normal(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFKC", v).casefold() if c.isalnum()))
 
 
-@F.pandas_udf("string")
 def _plain(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)))
 
@@ -143,11 +141,11 @@ def is_ascii(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Compatibility form, case folded, letters and digits only. Python sees non-ASCII values alone."""
-    return F.coalesce(_normal(F.when(~is_ascii(v), v)), F.lower(F.regexp_replace(v, "[^A-Za-z0-9]", "")))
+    return F.coalesce(F.pandas_udf(_normal, "string")(F.when(~is_ascii(v), v)), F.lower(F.regexp_replace(v, "[^A-Za-z0-9]", "")))
 
 
 def without_accents(v: Column) -> Column:
-    return F.coalesce(_plain(F.when(~is_ascii(v), v)), v)
+    return F.coalesce(F.pandas_udf(_plain, "string")(F.when(~is_ascii(v), v)), v)
 
 
 def html_escaped(v: Column) -> Column:
