@@ -21,11 +21,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Fixed: the split pattern of the byte-level vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 40
 #: Words remembered by a Python worker; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def byte_names() -> dict[str, int]:
@@ -73,7 +75,8 @@ class ByteBPE:
         self.split = regex.compile(SPLIT)
         self.text_of = self.bytes_of | {i: s.encode() for s, i in self.special.items()}
         self.name = {i: str(i) for i in self.text_of}
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.named = {n: self.text_of[i] for i, n in self.name.items()}
+        self.known: dict[str, str] = {}  # word -> its ids, joined by commas
         self.verified = self.merged = 0
 
     def merge(self, s: bytes) -> list[int]:
@@ -141,11 +144,7 @@ class ByteBPE:
         for k, (w, s, m) in enumerate(zip(words, raw, made, strict=True)):
             if k in failed:
                 m = self.merge(s)
-            self.known[w] = self.entry(m)
-
-    def entry(self, ids: list[int]) -> tuple[str, int, bytes]:
-        """What is remembered of a word: its ids joined by commas, their number, and the bytes that the ids decode to."""
-        return ",".join([self.name[i] for i in ids]), len(ids), b"".join([self.text_of[i] for i in ids])
+            self.known[w] = ",".join([self.name[i] for i in m])
 
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens of a text."""
@@ -156,26 +155,34 @@ class ByteBPE:
             out += [part] if part in self.special else self.split.findall(part)
         return out
 
-    def encode_all(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
-        """For each text the entries of its words."""
+    def encode_all(self, texts: list[str]) -> list[str]:
+        """The ids of each text, joined by commas."""
         cut, known = [self.pieces(t) for t in texts], self.known
         new = set().union(*cut).difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = set().union(*cut)
         for s in new & self.special.keys():
-            known[s] = self.entry([self.special[s]])
+            known[s] = self.name[self.special[s]]
         if new := new - self.special.keys():
             self.learn(new)
-        return [[known[w] for w in ws] for ws in cut]
+        return [",".join([known[w] for w in ws]) for ws in cut]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for e in self.encode_all([text])[0] for i in e[0].split(",")]
+        return ids_of(self.encode_all([text])[0])
+
+    def decode_joined(self, ids: str) -> str:
+        """The text of ids joined by commas; invalid UTF-8 becomes U+FFFD."""
+        return b"".join(map(self.named.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
     def decode(self, ids) -> str:
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def ids_of(joined: str) -> list[int]:
+    return list(map(int, joined.split(","))) if joined else []
+
+
 _LOADED: dict[bytes, ByteBPE] = {}
 
 
@@ -214,7 +221,7 @@ def encoder(spark: SparkSession, path: str):
     def encode(texts: pd.Series) -> pd.Series:
         bpe, out = loaded(spec.value), []
         for held in batches(texts):
-            out += [np.array([i for e in entries for i in e[0].split(",")], dtype=np.int32) for entries in bpe.encode_all(held)]
+            out += [np.array(ids_of(ids), dtype=np.int32) for ids in bpe.encode_all(held)]
         return pd.Series(out, dtype=object)
 
     return encode
@@ -242,11 +249,9 @@ def digests(spark: SparkSession, path: str):
     def digest(texts: pd.Series) -> pd.DataFrame:
         bpe, rows = loaded(spec.value), []
         for held in batches(texts):
-            for entries in bpe.encode_all(held):
-                ids = hashlib.sha256(",".join([e[0] for e in entries]).encode())
-                raw = b"".join([e[2] for e in entries])
-                text = raw.decode("utf-8", "replace").encode()
-                rows.append((sum([e[1] for e in entries]), ids.hexdigest(), hashlib.sha256(text).hexdigest()))
+            for ids in bpe.encode_all(held):
+                text = bpe.decode_joined(ids)
+                rows.append((ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest
@@ -255,6 +260,7 @@ def digests(spark: SparkSession, path: str):
 def with_digests(docs: DataFrame, path: str, text: str | Column = "text") -> DataFrame:
     """Documents with n_tokens, ids_sha256 and decoded_sha256 after their own columns."""
     spark = docs.sparkSession
+    small_batches(spark)
     col = F.col(text) if isinstance(text, str) else text
     out = docs.withColumn("_bpe", digests(spark, path).asNondeterministic()(col))
     names = ("n_tokens", "ids_sha256", "decoded_sha256")

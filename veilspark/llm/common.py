@@ -35,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: hand them to Python a thousand at a time, unless the session already asks for fewer or others than the default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 class Stash:
     """Intermediate tables of one operator call, in the shared folder.
 
@@ -44,6 +51,7 @@ class Stash:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         # Shuffle files go as soon as the table they made is written.
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.root = f"{shared_dir(spark)}/stash-{name}-{uuid.uuid4().hex}"
