@@ -13,21 +13,28 @@ from ..functions import spans as S
 from ..functions.catalog import LABELS, MAX_CANDIDATES, MAX_TEXT
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Rows with a column that is computed once. A generated column is not put in the place of its uses by the optimizer, which
+    would repeat these long expressions in every filter and projection above."""
+    keep = [c for c in df.columns if c != name]
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
 def detect(df: DataFrame, text_col: str = "text", enabled: list[str] | None = None, literals: list[str] | None = None, strict: bool = False) -> DataFrame:
     """Rows with `spans` (accepted findings, by start) and `error` (null, text_too_long or too_many_candidates)."""
     text = F.col(text_col)
     fits = F.when(F.length(text) <= MAX_TEXT, text)
-    out = df.withColumn("_cands", S.candidates(fits, enabled, literals))
+    out = held(df, "_cands", S.candidates(fits, enabled, literals))
     error = F.when(F.length(text) > MAX_TEXT, "text_too_long").when(F.size("_cands") > MAX_CANDIDATES, "too_many_candidates")
     if strict:
         error = F.when(error.isNotNull(), F.raise_error(error))
     out = out.withColumn("error", error.cast("string"))
-    return out.withColumn("spans", F.when(F.col("error").isNull(), S.resolved(F.col("_cands")))).drop("_cands")
+    return held(out, "spans", F.when(F.col("error").isNull(), S.resolved(F.col("_cands")))).drop("_cands")
 
 
 def redact(df: DataFrame, text_col: str = "text", mode: str = "labels", name: str = "redacted") -> DataFrame:
     """Rows of `detect` with the redacted text; rejected rows have null."""
-    return df.withColumn(name, F.when(F.col("error").isNull(), S.redacted(F.coalesce(F.col(text_col), F.lit("")), F.col("spans"), mode)))
+    return held(df, name, F.when(F.col("error").isNull(), S.redacted(F.coalesce(F.col(text_col), F.lit("")), F.col("spans"), mode)))
 
 
 def findings(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
