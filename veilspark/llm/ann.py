@@ -102,7 +102,7 @@ def count_group(first: int):
         q = unsigned(asked["h"])
         entries = np.sort(unsigned(data["h"])) if len(data) else np.empty(0, np.uint64)
         sums = [np.subtract(*spans(entries, q, n)[::-1]) if n >= first else np.zeros(len(q), int) for n in range(BITS + 1)]
-        return pd.DataFrame({"q": asked["q"], "counts": list(np.array(sums, dtype=np.int64).T)})
+        return pd.DataFrame({"q": asked["q"], "counts": pd.Series(list(np.array(sums, dtype=np.int64).T), index=asked.index, dtype=object)})
 
     return count
 
@@ -183,14 +183,16 @@ def search(table: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: str
     given = given.withColumn("v", F.xxhash64("raw")).withColumn("w", F.crc32("raw"))
     given = stash.keep(given)
     first = Window.partitionBy("v", "w").orderBy("id")
-    members = given.select("v", "w", "id", "raw", "sq").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    members = stash.keep(members)
+    members = given.select("v", "w", "id", "raw", "sq").withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= k + 1)
+    members = stash.keep(members.dropDuplicates(["v", "w", "id"]))
     reps = members.where("n = 1").select("v", "raw", "sq")
     n, top = reps.agg(F.count("*"), F.sqrt(F.max("sq"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = given.where("asked").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "raw").dropDuplicates(["query_id"])
     distinct = queries.dropDuplicates(["q"]).select("q", "raw")
+    if not distinct.limit(1).count():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     cut = max(0, (max(1, n // group_rows)).bit_length() - 1)  # first bits that name a group
     part = (F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), BITS - cut) if cut else F.lit(0).cast("long")).alias("part")
     tree = lambda df, query: df.select("*", F.posexplode(hash_udf(top, query)("raw")).alias("t", "h")).select("*", F.length("raw").alias("dim"), part)
@@ -240,13 +242,27 @@ def search(table: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: str
     spread = F.greatest(F.lit(0), F.lit(cut) - F.col("level"))
     low = F.call_function("shiftleft", F.call_function("shiftright", F.col("part"), spread), spread)
     probe = probe.withColumn("part", F.explode(F.sequence(low, low + F.call_function("shiftleft", F.lit(1).cast("long"), spread) - 1)))
+    out = stash.keep(nearest(data, probe, keys, members, queries, k))
+    # Trees may hold the wanted number and yet, as they repeat entries, too few different ones: such queries see all of one tree.
+    held = out.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = stash.keep(queries.join(held.where(F.col("n") >= k), "query_id", "left_anti"))
+    if not short.limit(1).count():
+        return out
+    all_of = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << cut) - 1).cast("long"))).alias("part")
+    again = probe.where("t = 0").drop("part", "level").distinct().join(short.select("q").distinct(), "q", "left_semi").select("*", F.lit(0).alias("level"), all_of)
+    more = nearest(data.where("t = 0"), again, keys, members, short, k)
+    return out.join(short.select("query_id"), "query_id", "left_anti").unionByName(more)
+
+
+def nearest(data: DataFrame, probe: DataFrame, keys: list[str], members: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the candidates that probes meet."""
     found = data.groupBy(*keys).cogroup(probe.groupBy(*keys)).applyInPandas(score_group(k + 1), "q long, v long, score double")
     found = found.groupBy("q", "v").agg(F.max("score").alias("score"))
     # k + 1 classes hold the k nearest rows, whichever of them is the query itself.
     rank = Window.partitionBy("q").orderBy(F.desc("score"), "v")
     cutoff = Window.partitionBy("q")
     found = found.withColumn("n", F.row_number().over(rank)).withColumn("last", F.min(F.when(F.col("n") <= k + 1, F.col("score"))).over(cutoff)).where("score >= last")
-    rows = found.join(members.select("v", "id"), "v")
+    rows = found.join(members.select("v", "id"), "v").groupBy("q", "id").agg(F.max("score").alias("score"))
     near = rows.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k + 1)
     out = queries.select("query_id", "q").join(near.select("q", "score", "id"), "q").where(F.col("id") != F.col("query_id"))
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))

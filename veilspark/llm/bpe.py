@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import carried, small_batches, unpacked
 
 #: Fixed: the split pattern of the byte-level vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -262,6 +262,6 @@ def with_digests(docs: DataFrame, path: str, text: str | Column = "text") -> Dat
     spark = docs.sparkSession
     small_batches(spark)
     col = F.col(text) if isinstance(text, str) else text
-    out = docs.withColumn("_bpe", digests(spark, path).asNondeterministic()(col))
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    return out.select(*[c for c in docs.columns if c not in names], *[f"_bpe.{n}" for n in names])
+    out = carried(docs, bpe=digests(spark, path).asNondeterministic()(col))
+    return out.select(*unpacked(out, *names), *[f"bpe.{n}" for n in names])

@@ -42,6 +42,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def carried(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Rows with all their columns in one struct, `row`, beside computed keys, so that no column of theirs clashes with ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
+
+
+def unpacked(rows: DataFrame, *leave: str, **replace: Column) -> list[Column]:
+    """The columns of `row` again, some left out or replaced."""
+    return [replace.get(c, F.col(f"row.`{c}`")).alias(c) for c in rows.schema["row"].dataType.names if c not in leave]
+
+
 class Stash:
     """Intermediate tables of one operator call, in the shared folder.
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stash, n_words_of
+from .common import Stash, carried, n_words_of, unpacked
 
 #: Fixed by the contract: weights of the sources by code point, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -78,14 +78,15 @@ def repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = by_bucket.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
     cut = cut.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     # 2: all of the bucket is within the rest, 1: the rest runs out in it
-    cut = cut.select("source", "bucket", "source_size", "target", "whole", "rest", "before", F.when(F.col("before") + F.col("words") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0).alias("state"))
+    cut = cut.select("source", "bucket", "source_size", "target", "whole", "rest", "before", F.when(F.col("rest") <= 0, 0).when(F.col("before") + F.col("words") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0).alias("state"))
     # At most sources x 16 ** 3 rows; Spark broadcasts them while they are small and else joins by source and bucket, which the buckets spread.
     cut = cut.withColumnsRenamed({"source": "s", "bucket": "b"})
     mine = every.withColumn("bucket", bucket)
     mine = mine.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     clear = mine.where("state <> 1").withColumn("extra", F.when(F.col("state") == 2, 1).otherwise(0))
     edge = mine.where("state = 1")
-    run = Window.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Rows of equal id and size stand or fall together.
+    run = Window.partitionBy("source", "bucket").orderBy("h", "id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("extra", F.when(F.col("before") + F.sum("size").over(run) <= F.col("rest"), 1).otherwise(0))
     # A whole further repetition would pass the epochs only if the rest were as large as the source, which it is not.
     both = clear.unionByName(edge)
@@ -95,9 +96,9 @@ def repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
     """The mix itself: each document as often as it is taken, all columns as they are."""
     reps = repetitions(docs, id_col, text_col, source_col, **params)
-    # The number of times of a row depends on id, source and size alone, so equal keys need one row.
+    # The number of times of a row depends on its id, source and size alone.
     reps = reps.groupBy("id", "source", "size").agg(F.max("times").alias("_times")).withColumnsRenamed({"id": "_i", "source": "_s", "size": "_n"})
-    own = docs.withColumn("_size", n_words_of(F.col(text_col)))
-    on = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    out = own.join(reps.where("_times > 0"), on)
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    own = carried(docs, id=F.col(id_col), source=F.col(source_col), size=n_words_of(F.col(text_col)))
+    on = F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n"))
+    out = own.join(reps.where("_times > 0"), on).select("row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("again"))
+    return out.select(*unpacked(out))

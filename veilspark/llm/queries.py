@@ -107,9 +107,9 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
 t AS (SELECT *, least(cap, weight * (SELECT arg_min(level, cap / weight + rank * 1e-12) FROM l WHERE cap >= level * weight)) AS target FROM l),
 g AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS rest,
-        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS run
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size RANGE UNBOUNDED PRECEDING) AS run
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN run <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
 """
 
 URL_SQL = """

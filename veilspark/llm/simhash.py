@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, components
+from .common import Stash, carried, components, unpacked
 
 #: Fingerprints of one tile task side; two of them and a comparison block are all a task holds.
 TILE = 65_536
@@ -195,10 +195,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = grouped(docs, id_col, text_col, shingle, radius, tile).where("id is not null")
     marks = found.groupBy("id", "th").agg((F.first("id") != F.first("component_id")).alias("gone"), (F.count("*") > 1).alias("again"))
     marks = Stash(docs.sparkSession, "simhash").keep(marks.where("gone or again"))
-    same = (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_th"))
-    kept = docs.join(marks.where("gone").select(F.col("id").alias("_id"), F.col("th").alias("_th")), same, "left_anti")
+    rows = carried(docs, id=F.col(id_col), th=F.xxhash64(text_col))
+    kept = rows.join(marks.where("gone").select("id", "th"), ["id", "th"], "left_anti")
     if marks.where("again and not gone").limit(1).count():
-        twice = marks.where("again and not gone").select(F.col("id").alias("_id"), F.col("th").alias("_th"))
-        once = kept.join(twice, same, "left_semi").withColumn("_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_key"]).drop("_key")
-        kept = kept.join(twice, same, "left_anti").unionByName(once)
-    return kept
+        twice = marks.where("again and not gone").select("id", "th")
+        once = kept.join(twice, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+        kept = kept.join(twice, ["id", "th"], "left_anti").unionByName(once)
+    return kept.select(*unpacked(kept))

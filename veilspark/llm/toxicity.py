@@ -35,7 +35,7 @@ MARKS = b"!?.,;:'\"()[]{}-_/\\*#$%&@^~|+=<>`"
 #: A-Z to lower case, ASCII marks to spaces.
 PLAIN = bytes(32 if b in MARKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Look-alikes of letters in obfuscated spellings.
-ALIKE = bytes.maketrans(b"013457@$!|", b"oleastasil")
+ALIKE = bytes.maketrans(b"013457@$!|", b"oieastasil")
 #: Fixed list: second-person words of the four languages of the tables.
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos ti usted ustedes vosotros tus".encode().split())
 HIDDEN = re.compile(rb"[A-Za-z]+[0-9@$!|*._-]+[A-Za-z][A-Za-z0-9@$!|*._-]*")
