@@ -25,6 +25,9 @@ def simple(*texts, line=0):
     return [(t, line, None, True, 90.0, 1) for t in texts]
 
 
+REVIEW = "doc_id int, unmatched_rule_ids array<int>, short_rule_ids array<int>, unresolved_pages array<int>, n_candidates long, weak boolean, requires_confirmation boolean"
+
+
 def found(spark, rows, literals):
     w = words(spark, rows)
     texts = layout.rebuilt(w)
@@ -77,7 +80,7 @@ def test_confidence_is_null_if_any_is_not_a_score(spark):
     rows = [("QA", 0, None, True, 55.0, 1), ("SECRET", 0, None, True, 150.0, 1), ("CANARY", 0, None, True, 80.0, 1)]
     got, review = found(spark, rows, ["QA_SECRET_CANARY"])
     assert got[0].confidence is None and review.weak
-    assert fuzzy.warnings(spark.createDataFrame([review])).first().warnings == [fuzzy.NEAR, fuzzy.WEAK]
+    assert fuzzy.warnings(spark.createDataFrame([review], REVIEW)).first().warnings == [fuzzy.NEAR, fuzzy.WEAK]
 
 
 def test_bounded_distance_is_exact(spark):
