@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,7 +60,12 @@ class Stash:
     executor costs the tasks it was running and nothing else.
     """
 
+    live: list[Stash] = []
+
     def __init__(self, spark: SparkSession, name: str):
+        if not Stash.live:
+            atexit.register(Stash.close_from, 0)
+        Stash.live.append(self)
         self.spark = spark
         small_batches(spark)
         # Shuffle files go as soon as the table they made is written.
@@ -81,6 +87,16 @@ class Stash:
         for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
             self.remove(path)
 
+    @staticmethod
+    def close_from(mark: int) -> None:
+        """Delete what the stashes made since `mark` (a former len(Stash.live)) hold: once the results read from them are written. Also done at exit."""
+        for stash in Stash.live[mark:]:
+            try:
+                stash.remove(stash.root)
+            except Exception:  # the session may be gone, and its folder with it
+                pass
+        del Stash.live[mark:]
+
     def remove(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)

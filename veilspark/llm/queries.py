@@ -93,7 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": URL_SQL, "op5_mixing": MIXING_SQL}
+    return {"op2_url_filter": URL_SQL, "op3_quality": quality_sql(), "op5_mixing": MIXING_SQL}
 
 
 MIXING_SQL = """
@@ -122,3 +122,30 @@ f AS (SELECT page_id, rhost || rpath AS rule, v, row_number() OVER (PARTITION BY
       FROM p JOIN l ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f ON p.page_id = f.page_id AND k = 1
 """
+
+
+def quality_sql() -> str:
+    p = quality.ALPHA / len(quality.RULES)
+    rules = " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, ({e.replace(' / ', '::DOUBLE / ')})::DOUBLE AS x FROM m" for r, e in quality.RULES.items())
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+r AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+c AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n FROM r GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+m AS (SELECT d.doc_id, lang, len(w)::BIGINT AS n_words, (length(text) - len(regexp_extract_all(text, '[\x20\x09-\x0D]')))::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+  len(regexp_extract_all(text, '\p{{Lu}}'))::BIGINT AS n_capitals, len(list_filter(w, lambda x: x = '|'))::BIGINT AS n_bars
+  FROM d JOIN l ON l.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id),
+b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM m),
+x AS ({rules}),
+h AS (SELECT x.lang, rule, x, y = 1 AS good FROM x JOIN b ON b.doc_id = x.doc_id AND NOT base_failed JOIN (SELECT doc_id, max(quality) AS y FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q ON q.doc_id = x.doc_id),
+s AS (SELECT lang, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND x > cutoff) AS k, count(*) FILTER (NOT good) AS bad, count(*) FILTER (NOT good AND x > cutoff) AS caught
+  FROM h, (SELECT unnest({list(quality.GRID)!r}::DOUBLE[]) AS cutoff) GROUP BY lang, rule, cutoff),
+t AS (SELECT *, CASE WHEN k >= n * {p!r} THEN 1 ELSE least(1, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({p!r}) + (n - i) * ln(1 - {p!r}))))) END AS p_value FROM s WHERE n > 0),
+v AS (SELECT *, max(p_value) OVER (PARTITION BY lang, rule ORDER BY cutoff DESC ROWS UNBOUNDED PRECEDING) * (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM t)) <= {quality.DELTA!r} AS safe,
+  caught / greatest(bad, 1) - {quality.COST} * k / n AS gain FROM t),
+o AS (SELECT lang, rule, cutoff FROM v WHERE safe QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, cutoff DESC) = 1 AND gain > 0),
+z AS (SELECT DISTINCT doc_id FROM x JOIN o ON x.lang IS NOT DISTINCT FROM o.lang AND x.rule = o.rule AND x.x > o.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM z) AS kept FROM b
+"""
