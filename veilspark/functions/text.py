@@ -148,6 +148,23 @@ def without_accents(v: Column) -> Column:
     return F.coalesce(F.pandas_udf(_plain, "string")(F.when(~is_ascii(v), v)), v)
 
 
+def first_match(text: Column, pattern: str) -> Column:
+    """Group 1 of the first match if the pattern has groups and any took part, else the match, else nothing."""
+    import re
+
+    whole = F.regexp_extract(text, pattern, 0)
+    if not re.compile(pattern).groups:
+        return whole
+    n = re.compile(pattern).groups
+    took_part = F.concat(*[F.regexp_extract(text, pattern, i) for i in range(1, n + 1)]) != ""
+    return F.when(took_part, F.regexp_extract(text, pattern, 1)).otherwise(whole)
+
+
+def methods_of(methods: Column) -> Column:
+    """Different methods of a document's pages, in order, as one text."""
+    return F.array_join(F.array_sort(F.array_distinct(methods)), " + ")
+
+
 def html_escaped(v: Column) -> Column:
     out = v
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):

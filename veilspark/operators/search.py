@@ -178,21 +178,25 @@ def summaries(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str
     """(id, summary): the n sentences nearest to the mean of all, in their order, joined by line breaks."""
     if not 1 <= n <= 10:
         raise InputError("a summary has 1 to 10 sentences")
-    each = docs.select(F.col(id_col).alias("id"), F.posexplode(sentences(F.coalesce(F.col(text_col), F.lit("")))).alias("i", "s"))
+    # Dealt by id once, while rows are texts: every grouping, window and join below is by id and more, and stays in place.
+    # The number is given, as sizes of texts say little about the rows made of them.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(parts, "id")
+    each = dealt.select("id", F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("i", "s"))
     counts = each.select("id", "i", F.explode(tokens(F.col("s"))).alias("term")).groupBy("id", "i", "term").agg(F.count("*").alias("tf"))
     size = each.groupBy("id").agg(F.count("*").alias("n"))
-    freq = counts.groupBy("id", "term").agg(F.count("*").alias("df")).join(size, "id")
-    freq = freq.select("id", "term", "n", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    raw = counts.join(freq, ["id", "term"]).withColumn("x", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id", "i")))
-    unit = raw.withColumn("w", F.col("x") / norm)
-    mean = F.sum("w").over(Window.partitionBy("id", "term")) / F.col("n")
-    scores = unit.withColumn("m", mean).groupBy("id", "i").agg(F.sum(F.col("w") * F.col("m")).alias("score"))
+    counts = counts.join(size, "id")
+    idf = F.log((1.0 + F.col("n")) / (1.0 + F.count("*").over(Window.partitionBy("id", "term")))) + 1.0
+    raw = counts.withColumn("x", F.col("tf") * idf)
+    norm = raw.groupBy("id", "i").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    unit = raw.join(norm, ["id", "i"]).withColumn("w", F.col("x") / F.col("norm"))
+    mean = unit.groupBy("id", "term").agg((F.sum("w") / F.first("n")).alias("m"))
+    scores = unit.join(mean, ["id", "term"]).groupBy("id", "i").agg(F.sum(F.col("w") * F.col("m")).alias("score"))
     # Rounded, so that sums in another order rank alike.
     ranked = each.join(scores, ["id", "i"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "i")))
     kept = ranked.where(F.col("r") <= n).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("p"))
-    out = docs.select(F.col(id_col).alias("id")).join(kept, "id", "left")
+    out = dealt.select("id").join(kept, "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce(F.array_join(F.col("p.s"), "\n"), F.lit("")).alias("summary"))
 
 

@@ -300,6 +300,17 @@ def highlight(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.highlighted(F.col("text"), "the on, les!").alias("html"))
 
 
+@query("SELECT page_id, coalesce(nullif(regexp_extract(url, '://([a-z]+)\\.', 1), ''), regexp_extract(url, '://([a-z]+)\\.', 0)) AS first FROM pages")
+def first_matches(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.first_match(F.col("url"), r"://([a-z]+)\.").alias("first"))
+
+
+@query("SELECT user_id, string_agg(DISTINCT event_type, ' + ' ORDER BY event_type) AS methods FROM events GROUP BY user_id")
+def page_methods(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.groupBy("user_id").agg(T.methods_of(F.collect_set("event_type")).alias("methods"))
+
+
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'UTF-16' ELSE 'UTF-8' END AS method, text FROM documents")
 def decode_text(spark, sf_dir):
     i = F.col("doc_id") % 3
