@@ -182,16 +182,14 @@ def summaries(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str
     # The number is given, as sizes of texts say little about the rows made of them.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(parts, "id")
-    each = dealt.select("id", F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("i", "s"))
-    counts = each.select("id", "i", F.explode(tokens(F.col("s"))).alias("term")).groupBy("id", "i", "term").agg(F.count("*").alias("tf"))
-    size = each.groupBy("id").agg(F.count("*").alias("n"))
-    counts = counts.join(size, "id")
-    idf = F.log((1.0 + F.col("n")) / (1.0 + F.count("*").over(Window.partitionBy("id", "term")))) + 1.0
-    raw = counts.withColumn("x", F.col("tf") * idf)
-    norm = raw.groupBy("id", "i").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    unit = raw.join(norm, ["id", "i"]).withColumn("w", F.col("x") / F.col("norm"))
-    mean = unit.groupBy("id", "term").agg((F.sum("w") / F.first("n")).alias("m"))
-    scores = unit.join(mean, ["id", "term"]).groupBy("id", "i").agg(F.sum(F.col("w") * F.col("m")).alias("score"))
+    cut = dealt.select("id", sentences(F.coalesce("text", F.lit(""))).alias("p"))
+    each = cut.select("id", F.posexplode("p").alias("i", "s"))
+    counts = cut.select("id", F.size("p").alias("n"), F.posexplode("p").alias("i", "s")).select("id", "i", "n", F.explode(tokens(F.col("s"))).alias("term"))
+    counts = counts.groupBy("id", "i", "n", "term").agg(F.count("*").alias("tf"))
+    by_term, by_sentence = Window.partitionBy("id", "term"), Window.partitionBy("id", "i")
+    raw = counts.withColumn("x", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.count("*").over(by_term))) + 1.0))
+    unit = raw.withColumn("w", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(by_sentence)))
+    scores = unit.withColumn("m", F.sum("w").over(by_term) / F.col("n")).groupBy("id", "i").agg(F.sum(F.col("w") * F.col("m")).alias("score"))
     # Rounded, so that sums in another order rank alike.
     ranked = each.join(scores, ["id", "i"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "i")))
