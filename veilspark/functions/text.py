@@ -127,8 +127,12 @@ def truncated(text: Column, limit: int = MAX_TEXT) -> Column:
     return F.struct(F.substring(text, 1, limit).alias("text"), (F.length(text) > limit).alias("truncated"))
 
 
+def normal_form(v: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKC", v).casefold() if c.isalnum())
+
+
 def _normal(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFKC", v).casefold() if c.isalnum()))
+    return values.map(lambda v: None if v is None else normal_form(v))
 
 
 def _plain(values: pd.Series) -> pd.Series:

@@ -114,16 +114,16 @@ CONTACTS = """
     || '. Mail c' || CAST(c_custkey % 3 AS VARCHAR) || '@example.org, C' || CAST(c_custkey % 3 AS VARCHAR) || '@example.org' AS text
   FROM customer"""
 
-#: Positioned words, made from the first 60 words of documents: eight to a line, three lines to a page; every eleventh is native.
+#: Positioned words, made from the words of documents: eight to a line, three lines to a page; every eleventh is native.
 WORDS = """
   SELECT doc_id, CAST(1 + CAST(FLOOR(pos / 24.0) AS INT) AS INT) AS page, CAST(pos AS INT) AS word_no, text, CAST(FLOOR(pos / 8.0) AS INT) AS line,
     (pos % 8) * 90.0e0 AS x0, (pos % 8) * 90.0e0 + 8.0e0 * length(text) AS x1, FLOOR(pos / 8.0e0) * 30.0e0 AS y0, FLOOR(pos / 8.0e0) * 30.0e0 + 20.0e0 AS y1,
     pos % 11 <> 5 AS is_ocr, CASE WHEN pos % 11 <> 5 THEN CAST((doc_id * 7 + pos * 13) % 101 AS DOUBLE) END AS confidence
-  FROM base_words WHERE pos < 60"""
+  FROM base_words"""
 BASE_WORDS = """
   SELECT doc_id, CAST(i - 1 AS INT) AS pos, w[i] AS text FROM (
     SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (
-      SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id % 10 = 0))"""
+      SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents))"""
 
 
 def with_words(sql: str, pages: bool = False) -> str:

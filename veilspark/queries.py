@@ -329,9 +329,9 @@ def decode_western(spark, sf_dir):
 
 
 def words(spark, sf_dir):
-    """Words of every tenth document with made-up places; the layout is the fixture, not a sample of a result."""
-    docs = documents(spark, sf_dir).where(F.col("doc_id") % 10 == 0)
-    each = docs.select("doc_id", F.posexplode(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).alias("pos", "text")).where("pos < 60")
+    """All words of all documents, with made-up places: eight to a line, three lines to a page, every eleventh native."""
+    docs = documents(spark, sf_dir)
+    each = docs.select("doc_id", F.posexplode(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).alias("pos", "text"))
     p, col, row = F.col("pos"), (F.col("pos") % 8).cast("double"), F.floor(F.col("pos") / 8).cast("double")
     return each.select(
         "doc_id", (1 + F.floor(p / 24)).cast("int").alias("page"), p.alias("word_no"), "text", row.cast("int").alias("line"),
@@ -447,7 +447,7 @@ RULES = ["Inquerable Secret", "Licensed Apache", "AAAAAAAA", "short"]
 def noisy_words(spark, sf_dir):
     """The words, with two values written in by place: exact, split, with one and with two wrong letters."""
     w = words(spark, sf_dir)
-    n, d = F.col("word_no"), F.col("doc_id") / 10 % 4
+    n, d = F.col("word_no"), F.floor(F.col("doc_id") / 10) % 4
     first = F.when(d == 0, "Inquerable").when(d == 1, "lnquerable").when(d == 2, "lnquerab1e").otherwise("Inquer_able")
     text = F.when(n == 9, first).when(n == 10, F.when(d == 3, "Secrat").otherwise("Secret")).when(n == 25, "Licensed").when(n == 26, "Apache").otherwise(F.col("text"))
     w = w.withColumn("text", text).withColumn("x1", F.col("x0") + F.when(n.isin(9, 25), 85.0).otherwise(8.0 * F.length(text)))
