@@ -10,6 +10,12 @@ bit counts in numpy. A task returns a spanning forest of the links it found, so
 a group of near copies costs rows in proportion to its members, and connected
 components join the forests.
 
+With a similarity asked for, a pair within the radius is a link only if the
+texts' shingle sets agree as well: each text carries a one-permutation MinHash
+sketch of BINS bins, and the share of equal bins must lie within two standard
+errors of that similarity or above. A wide radius then finds near copies that a
+narrow one misses, without linking texts that are near by chance.
+
 Cost: copies of a text share one fingerprint, so they cost one row. Distinct
 fingerprints are compared in pairs of tiles, which is quadratic work divided by
 what the population counts skip; the tile size bounds a task's memory.
@@ -27,59 +33,84 @@ from pyspark.sql import functions as F
 
 from .common import Stash, carried, components, unpacked
 
-#: Fingerprints of one tile task side; two of them and a comparison block are all a task holds.
-TILE = 65_536
+#: Fingerprints of a tile, least and most; between them an eighth of all, so that small inputs still make some dozens of tasks.
+TILES = (8_192, 262_144)
+#: Bins of a sketch, four bytes each.
+BINS = 32
+EMPTY = 0xFFFFFFFF
 #: Fingerprints of an inner tile.
 INNER = 512
 FIELDS = 4
 
 
-def fingerprint(raw: bytes, size: int) -> int:
-    """Of one text in UTF-8: a bit is 1 if it is set in over half the shingle hashes."""
+def described(raw: bytes, size: int, bins: int = 0) -> tuple[int, np.ndarray]:
+    """Fingerprint of a text in UTF-8 (a bit is 1 if it is set in over half the shingle hashes), and its sketch."""
     import xxhash
 
+    sketch = np.full(bins, EMPTY, np.uint32)
     words = raw.lower().split()  # bytes: ASCII letters and the six ASCII spaces only
     if not words:
-        return 0
+        return 0, sketch
     xx, n = xxhash.xxh64_intdigest, len(words)
-    if n <= size:
-        return xx(b" ".join(words), 42)
     joined = b" ".join(words)
     length = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(length + 1) - 1
-    starts = (ends - length)[: n - size + 1].tolist()
-    ends = ends[size - 1 :].tolist()
+    starts = (ends - length)[: max(1, n - size + 1)].tolist()
+    ends = ends[min(n, size) - 1 :].tolist()
     total = np.zeros(64, np.int64)
     for at in range(0, len(starts), 32_768):
         h = np.array([xx(joined[i:j], 42) for i, j in zip(starts[at : at + 32_768], ends[at : at + 32_768], strict=True)], dtype="<u8")
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int32)
+        if bins:
+            np.minimum.at(sketch, (h % np.uint64(bins)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32))
     one = (total * 2 > len(starts)).astype(np.uint8)
-    return int(np.packbits(one, bitorder="little").view("<u8")[0])
+    return int(np.packbits(one, bitorder="little").view("<u8")[0]), sketch
+
+
+def fingerprint(raw: bytes, size: int) -> int:
+    return described(raw, size)[0]
 
 
-def fingerprints(size: int = 4):
-    """UDF text as binary -> fingerprint as a signed long."""
+def fingerprints(size: int = 4, bins: int = 0):
+    """UDF text as binary -> struct of the fingerprint, as a signed long, and the sketch (empty without bins)."""
 
-    @F.pandas_udf("long")
-    def fp(raw: pd.Series) -> pd.Series:
-        values = [fingerprint(x or b"", size) for x in raw]
-        return pd.Series(np.array(values, dtype=np.uint64).view(np.int64), dtype="int64")
+    @F.pandas_udf("fp long, sketch binary")
+    def fp(raw: pd.Series) -> pd.DataFrame:
+        values = [described(x or b"", size, bins) for x in raw]
+        return pd.DataFrame({"fp": np.array([v for v, _ in values], dtype=np.uint64).view(np.int64), "sketch": [k.tobytes() for _, k in values]})
 
     return fp
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of the shingle sets of rows of sketches; texts without shingles are alike."""
+    some = (a != EMPTY) | (b != EMPTY)
+    n = some.sum(1)
+    return np.where(n > 0, ((a == b) & some).sum(1) / np.maximum(n, 1), 1.0)
+
+
+def least_share(similarity: float) -> float:
+    return similarity - 2 * (similarity * (1 - similarity) / BINS) ** 0.5
+
+
 class Forest:
     """Union-find over the fingerprints of a task, and the links that joined trees."""
 
-    def __init__(self, n: int):
-        self.root, self.links = np.arange(n), []
+    def __init__(self, n: int, sketches: np.ndarray | None = None, least: float = 0.0):
+        self.root, self.links, self.sketches, self.least = np.arange(n), [], sketches, least
 
     def flat(self) -> None:
         while (self.root[self.root] != self.root).any():
             self.root = self.root[self.root]
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        if self.sketches is not None:
+            self.flat()
+            new = self.root[i] != self.root[j]
+            i, j = i[new], j[new]
+            good = alike(self.sketches[i], self.sketches[j]) >= self.least
+            i, j = i[good], j[good]
         while len(i):
             self.flat()
             a, b = self.root[i], self.root[j]
@@ -93,24 +124,25 @@ class Forest:
             self.links += list(zip(i[first].tolist(), j[first].tolist(), strict=True))
 
 
-def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest, as pairs of fingerprints, of the links within x (y None) or between x and y."""
+def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int, xs: np.ndarray | None = None, ys: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
+    """Spanning forest, as pairs of fingerprints, of the links within x (y None) or between x and y; xs and ys are sketches."""
 
-    def cut(v):
+    def cut(v, sketches):
         counts = np.stack([np.bitwise_count((v >> np.uint64(16 * k)) & np.uint64(0xFFFF)) for k in range(FIELDS)], 1).astype(np.int64)
         order = np.lexsort(counts.T[::-1])
         v, counts = v[order], counts[order]
         at = range(0, len(v), INNER)
-        return v, [(i, counts[i : i + INNER].min(0), counts[i : i + INNER].max(0)) for i in at]
+        return v, sketches[order] if sketches is not None else None, [(i, counts[i : i + INNER].min(0), counts[i : i + INNER].max(0)) for i in at]
 
-    x, xt = cut(x)
+    x, xs, xt = cut(x, xs)
     if y is None:
         y, yt, off = x, xt, 0
     else:
-        y, yt = cut(y)
+        y, ys, yt = cut(y, ys)
         off = len(x)
     every = np.concatenate([x, y]) if off else x
-    forest = Forest(len(every))
+    both = None if xs is None else np.concatenate([xs, ys]) if off else xs
+    forest = Forest(len(every), both, least)
     low, high = np.array([t[1] for t in yt]), np.array([t[2] for t in yt])
     for n, (i, lo, hi) in enumerate(xt):
         gap = (np.maximum(0, low - hi) + np.maximum(0, lo - high)).sum(1)
@@ -129,11 +161,12 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int) -> list[tuple[i
     return [(int(every[p]), int(every[q])) for p, q in forest.links]
 
 
-def links(fps: DataFrame, radius: int, stash: Stash, tile: int = TILE) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints (column fp) within the radius, a forest a tile pair."""
+def links(fps: DataFrame, radius: int, stash: Stash, tile: int | None = None, similarity: float | None = None) -> DataFrame:
+    """(a, b): links that connect all distinct fingerprints (fp, and sketch if a similarity is given), a forest a tile pair."""
     spark = fps.sparkSession
     # 65 rows at most: the number of fingerprints of each population count.
     have = {r[0]: r[1] for r in fps.groupBy(F.bit_count("fp").alias("p")).count().collect()}
+    tile = tile or min(TILES[1], max(TILES[0], sum(have.values()) // 8))
     # Neighbouring counts share a class until a class fills a tile; a large count is dealt over several tiles.
     classes, lo, held = [], 0, 0
     for p in range(65):
@@ -157,42 +190,51 @@ def links(fps: DataFrame, radius: int, stash: Stash, tile: int = TILE) -> DataFr
         [(p, of_class[n][0], parts_of[of_class[n][0]], [(f, parts_of[f]) for f in of_class[n][1]]) for n, (a, b, _) in enumerate(classes) for p in range(a, b + 1)],
         schema,
     )
-    dealt = fps.select("fp", F.bit_count("fp").alias("p")).join(F.broadcast(table), "p")
-    dealt = dealt.select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int").alias("t"), "partners")
-    dealt = dealt.select("fp", "t", F.explode(F.flatten(F.transform("partners", lambda x: F.sequence(x["first"], x["first"] + x["parts"] - 1)))).alias("o"))
-    dealt = dealt.select("fp", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "t")
+    own = ["fp", "sketch"] if similarity else ["fp"]
+    dealt = fps.select(*own, F.bit_count("fp").alias("p")).join(F.broadcast(table), "p")
+    dealt = dealt.select(*own, (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int").alias("t"), "partners")
+    dealt = dealt.select(*own, "t", F.explode(F.flatten(F.transform("partners", lambda x: F.sequence(x["first"], x["first"] + x["parts"] - 1)))).alias("o"))
+    dealt = dealt.select(*own, F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "t")
+
+    least = least_share(similarity) if similarity else 0.0
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["fp"].to_numpy().view(np.uint64)
-        one, t, x, y = v, pdf["t"].to_numpy(), pdf["x"].iat[0], pdf["y"].iat[0]
-        found = tile_links(one, None, radius) if x == y else tile_links(one[t == x], one[t == y], radius)
+        v, t, x, y = pdf["fp"].to_numpy().view(np.uint64), pdf["t"].to_numpy(), pdf["x"].iat[0], pdf["y"].iat[0]
+        k = np.frombuffer(b"".join(pdf["sketch"]), "<u4").reshape(len(pdf), -1) if similarity else None
+        side = lambda n: (v[t == n], None if k is None else k[t == n])
+        if x == y:
+            found = tile_links(v, None, radius, k, None, least)
+        else:
+            (a, ka), (b, kb) = side(x), side(y)
+            found = tile_links(a, b, radius, ka, kb, least)
         out = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
     return stash.keep(dealt.groupBy("x", "y").applyInPandas(compare, "a long, b long"))
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, tile: int) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, tile: int | None, similarity: float | None) -> DataFrame:
     """(id, th, fp, component_id) of each document; th is a hash of the whole text, which tells rows of equal ids apart."""
     stash = Stash(docs.sparkSession, "simhash")
-    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), fingerprints(shingle)(F.col(text_col).cast("binary")).alias("fp"))
-    every = stash.keep(every)
-    least = every.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(least.select("fp"), radius, stash, tile), stash)
+    described_by = fingerprints(shingle, BINS if similarity else 0)(F.col(text_col).cast("binary"))
+    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), described_by.alias("d"))
+    every = stash.keep(every.select("id", "th", "d.*"))
+    least = every.groupBy("fp").agg(F.min("id").alias("least"), F.min("sketch").alias("sketch"))
+    roots = components(links(least.select("fp", "sketch"), radius, stash, tile, similarity), stash)
     named = stash.keep(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return every.join(named.join(names, "root").select("fp", "component_id"), "fp")
+    return every.drop("sketch").join(named.join(names, "root").select("fp", "component_id"), "fp")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int | None = None, similarity: float | None = None) -> DataFrame:
     """One row a document: its id, fingerprint (16 hex digits) and component_id, the least id it reaches over links."""
-    found = grouped(docs, id_col, text_col, shingle, radius, tile)
+    found = grouped(docs, id_col, text_col, shingle, radius, tile, similarity)
     return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int | None = None, similarity: float | None = None) -> DataFrame:
     """One document of each group: the one whose id names the component. Of equal rows one stays; rows with a null id all stay."""
-    found = grouped(docs, id_col, text_col, shingle, radius, tile).where("id is not null")
+    found = grouped(docs, id_col, text_col, shingle, radius, tile, similarity).where("id is not null")
     marks = found.groupBy("id", "th").agg((F.first("id") != F.first("component_id")).alias("gone"), (F.count("*") > 1).alias("again"))
     marks = Stash(docs.sparkSession, "simhash").keep(marks.where("gone or again"))
     rows = carried(docs, id=F.col(id_col), th=F.xxhash64(text_col))
