@@ -27,6 +27,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Stash
+
 #: Shortest candidate, in code points.
 LEAST_CHARS = 16
 CANDIDATE = rf"(?<![A-Za-z0-9+/=_.~-])(?=[A-Za-z0-9+/=_.~-]*[0-9])(?=[A-Za-z0-9+/=_.~-]*[A-Za-z])[A-Za-z0-9+/_~-][A-Za-z0-9+/=_.~-]{{{LEAST_CHARS - 2},}}[A-Za-z0-9+/=_-](?![A-Za-z0-9+/=_~-])"
@@ -168,11 +170,8 @@ def findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (f"concat({word}, ' ')", f"concat({word}, '.', {word2}, '-', {num}, '.example.com')", 0),
         (f"concat({word}, ' ')", "concat('2024', lpad(cast(pmod(id, 12) + 1 as string), 2, '0'), '01T', lpad(cast(pmod(id, 24) as string), 2, '0'), '0000Z-run', cast(id as string))", 0),
     ]
-    n = len(forms)
-    out = None
-    for k, (lead, value, secret) in enumerate(forms):
-        part = spark.range(k, rows, n).selectExpr("id", f"{lead} as lead", f"{value} as value", f"{secret} as secret")
-        out = part if out is None else out.unionByName(part)
+    choose = lambda i: f"case pmod(id, {len(forms)}) " + " ".join(f"when {k} then {form[i]}" for k, form in enumerate(forms)) + " end"
+    out = spark.range(rows).selectExpr("id", f"{choose(0)} as lead", f"{choose(1)} as value", f"{choose(2)} as secret")
     around = F.expr("concat(element_at(array('', 'the value of ', 'It was here that the ', 'set '), 1 + cast(pmod(xxhash64('q', id), 4) as int)), lead)")
     close = F.when(F.col("lead").endswith('"'), '" and more.').otherwise(" and more.")
     out = out.withColumn("around", around)
@@ -183,6 +182,8 @@ def train(labelled: DataFrame, pairs: DataFrame, trees: int = 40, depth: int = 8
     """Forest of labelled findings (id, text, start, label); a text's candidate at start carries the label, others are left out."""
     found = candidates(labelled, "id", "text")
     rows = described(found, pairs).join(labelled.select("id", F.col("start").alias("_start"), "label"), "id").where("start = _start")
+    # Written once: fitting reads them in several jobs.
+    rows = Stash(labelled.sparkSession, "findings").keep(rows.select("label", *[f"f_{f}" for f in FEATURES]))
     stages = [VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="_x"), RandomForestClassifier(featuresCol="_x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8)]
     return Pipeline(stages=stages).fit(rows)
 
