@@ -8,8 +8,6 @@ lengths of the parts are the offsets.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -186,6 +184,3 @@ def blocks_of(preview: Column) -> Column:
 def too_long(text: Column) -> Column:
     return F.length(text) > MAX_TEXT
 
-
-def all_of(*tests: Column) -> Column:
-    return reduce(lambda a, b: a & b, tests)
