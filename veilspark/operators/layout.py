@@ -71,9 +71,11 @@ def runs(words: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     was = {c: F.lag(b).over(order) for c, b in box.items()}
     turn = F.coalesce(F.col("orientation"), F.lit(0)) if "orientation" in words.columns else F.lit(0)
     if texts is not None:
-        words = words.join(texts.select(DOC, F.col("text").alias("_t")), DOC)
-        between = F.substr("_t", F.lag("end").over(order) + 1, F.col("start") - F.lag("end").over(order))
-        gap_text = stripped(between) != ""
+        # Places first, so that texts pass through the join alone and not through sorts of words.
+        words = words.withColumn("_at", F.lag("end").over(order)).join(texts.select(DOC, F.col("text").alias("_t")), DOC)
+        blank = stripped(F.substr("_t", F.col("_at") + 1, F.col("start") - F.col("_at"))) == ""
+        words = words.withColumn("_gap", F.coalesce(~blank, F.lit(False))).drop("_t", "_at")
+        gap_text = F.col("_gap")
     else:
         gap_text = F.lit(False)
     overlap = F.least(was["y1"], box["y1"]) - F.greatest(was["y0"], box["y0"])
@@ -90,7 +92,7 @@ def runs(words: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     )
     out = words.withColumn("_break", F.coalesce(breaks, F.lit(True)).cast("int"))
     out = out.withColumn("run", F.sum("_break").over(order).cast("int"))
-    return out.where("is_ocr").drop("_break", "_t")
+    return out.where("is_ocr").drop("_break", "_gap")
 
 
 def regions(words: DataFrame, matches: DataFrame, scale: float, width: int, height: int) -> DataFrame:
