@@ -139,3 +139,33 @@ def test_sketches_estimate_similarity():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0 and simhash.keep_first(df).count() == 0
+
+
+def test_similarity_is_the_exact_jaccard(spark):
+    """Links at 0.8 and over, none under, though sketches and fingerprints are near; repeated shingles count once."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows = []
+    for _ in range(120):
+        words = [rng.choice(vocab) for _ in range(200)]
+        rows.append((len(rows), " ".join(words)))
+        cut = rng.randrange(20, 60)  # a prefix: 196 - cut shingles of 196, 0.9 to 0.69
+        rows.append((len(rows), " ".join(words[:-cut])))
+    words = [rng.choice(vocab) for _ in range(200)]
+    rows += [(900, " ".join(words)), (901, " ".join(words + ["again"] * 2000))]
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    want = {i: i for i, _ in rows} | {b: a for a, b in [(i, i + 1) for i in range(0, 240, 2)] + [(900, 901)] if alike(a, b)}
+    assert want[901] == 900 and 40 < sum(i != c for i, c in want.items()) < 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(df, shingle=5, radius=18, similarity=0.8, exact=True).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_chunks_lose_no_pair(monkeypatch, spark):
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base + [f"own{i}"])) for i in range(60)] + [(100 + i, rng.choice([None, "", " "])) for i in range(9)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, radius=18, similarity=0.8, exact=True).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 0 if i < 60 else 100 for i, _ in rows}

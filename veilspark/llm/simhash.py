@@ -13,8 +13,12 @@ components join the forests.
 With a similarity asked for, a pair within the radius is a link only if the
 texts' shingle sets agree as well: each text carries a one-permutation MinHash
 sketch of BINS bins, and the share of equal bins must lie within two standard
-errors of that similarity or above. A wide radius then finds near copies that a
-narrow one misses, without linking texts that are near by chance.
+errors of that similarity or above: an estimate. With `exact`, fingerprints are
+taken over distinct shingles, the bar is four standard errors, and such pairs are
+only candidates. Texts that candidates connect are then compared in full: a link
+is a pair whose shingle sets have that Jaccard similarity (of 64-bit shingle
+hashes). Large connected sets are compared in pairs of chunks, a forest a task,
+so a group costs no rows in its square.
 
 Cost: copies of a text share one fingerprint, so they cost one row. Distinct
 fingerprints are compared in pairs of tiles, which is quadratic work divided by
@@ -38,33 +42,43 @@ TILES = (8_192, 262_144)
 #: Bins of a sketch, four bytes each.
 BINS = 32
 EMPTY = 0xFFFFFFFF
+#: Texts of a chunk whose shingle sets are compared in one task.
+CHUNK = 256
 #: Fingerprints of an inner tile.
 INNER = 512
 FIELDS = 4
 
 
-def described(raw: bytes, size: int, bins: int = 0) -> tuple[int, np.ndarray]:
-    """Fingerprint of a text in UTF-8 (a bit is 1 if it is set in over half the shingle hashes), and its sketch."""
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """Hash of each run of `size` words, in order; fewer words are one shingle, none have none."""
     import xxhash
 
-    sketch = np.full(bins, EMPTY, np.uint32)
-    words = raw.lower().split()  # bytes: ASCII letters and the six ASCII spaces only
-    if not words:
-        return 0, sketch
     xx, n = xxhash.xxh64_intdigest, len(words)
     joined = b" ".join(words)
     length = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(length + 1) - 1
     starts = (ends - length)[: max(1, n - size + 1)].tolist()
-    ends = ends[min(n, size) - 1 :].tolist()
+    ends = ends[min(n, size) - 1 :].tolist() if n else []
+    return np.fromiter((xx(joined[i:j], 42) for i, j in zip(starts, ends, strict=True)), "<u8", len(starts))
+
+
+def described(raw: bytes, size: int, bins: int = 0, once: bool = False) -> tuple[int, np.ndarray]:
+    """Fingerprint of a text in UTF-8 (a bit is 1 if it is set in over half the shingle hashes; once: each different one counts once), and its sketch."""
+    sketch = np.full(bins, EMPTY, np.uint32)
+    words = raw.lower().split()  # bytes: ASCII letters and the six ASCII spaces only
+    if not words:
+        return 0, sketch
+    every = shingles(words, size)
+    if once:
+        every = np.unique(every)
     total = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 32_768):
-        h = np.array([xx(joined[i:j], 42) for i, j in zip(starts[at : at + 32_768], ends[at : at + 32_768], strict=True)], dtype="<u8")
+    for at in range(0, len(every), 32_768):
+        h = every[at : at + 32_768]
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int32)
         if bins:
             np.minimum.at(sketch, (h % np.uint64(bins)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32))
-    one = (total * 2 > len(starts)).astype(np.uint8)
+    one = (total * 2 > len(every)).astype(np.uint8)
     return int(np.packbits(one, bitorder="little").view("<u8")[0]), sketch
 
 
@@ -72,12 +86,12 @@ def fingerprint(raw: bytes, size: int) -> int:
     return described(raw, size)[0]
 
 
-def fingerprints(size: int = 4, bins: int = 0):
+def fingerprints(size: int = 4, bins: int = 0, once: bool = False):
     """UDF text as binary -> struct of the fingerprint, as a signed long, and the sketch (empty without bins)."""
 
     @F.pandas_udf("fp long, sketch binary")
     def fp(raw: pd.Series) -> pd.DataFrame:
-        values = [described(x or b"", size, bins) for x in raw]
+        values = [described(x or b"", size, bins, once) for x in raw]
         return pd.DataFrame({"fp": np.array([v for v, _ in values], dtype=np.uint64).view(np.int64), "sketch": [k.tobytes() for _, k in values]})
 
     return fp
@@ -90,8 +104,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(n > 0, ((a == b) & some).sum(1) / np.maximum(n, 1), 1.0)
 
 
-def least_share(similarity: float) -> float:
-    return similarity - 2 * (similarity * (1 - similarity) / BINS) ** 0.5
+def least_share(similarity: float, errors: int = 2) -> float:
+    return similarity - errors * (similarity * (1 - similarity) / BINS) ** 0.5
 
 
 class Forest:
@@ -161,7 +175,7 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int, xs: np.ndarray
     return [(int(every[p]), int(every[q])) for p, q in forest.links]
 
 
-def links(fps: DataFrame, radius: int, stash: Stash, tile: int | None = None, similarity: float | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int, stash: Stash, tile: int | None = None, similarity: float | None = None, errors: int = 2) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints (fp, and sketch if a similarity is given), a forest a tile pair."""
     spark = fps.sparkSession
     # 65 rows at most: the number of fingerprints of each population count.
@@ -196,7 +210,7 @@ def links(fps: DataFrame, radius: int, stash: Stash, tile: int | None = None, si
     dealt = dealt.select(*own, "t", F.explode(F.flatten(F.transform("partners", lambda x: F.sequence(x["first"], x["first"] + x["parts"] - 1)))).alias("o"))
     dealt = dealt.select(*own, F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "t")
 
-    least = least_share(similarity) if similarity else 0.0
+    least = least_share(similarity, errors) if similarity else 0.0
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         v, t, x, y = pdf["fp"].to_numpy().view(np.uint64), pdf["t"].to_numpy(), pdf["x"].iat[0], pdf["y"].iat[0]
@@ -213,12 +227,82 @@ def links(fps: DataFrame, radius: int, stash: Stash, tile: int | None = None, si
     return stash.keep(dealt.groupBy("x", "y").applyInPandas(compare, "a long, b long"))
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, tile: int | None, similarity: float | None) -> DataFrame:
+def same_sets(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest, as pairs of places, of sorted sets whose Jaccard similarity is at least the one given; side None: all pairs, else pairs of different sides."""
+    n = np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(n)[:-1]])
+    values, every = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, root, out = np.zeros(len(values), bool), np.arange(len(sets)), []
+    for i in range(len(sets)):
+        with_ = (np.arange(len(sets)) < i) & (root != root[i]) & (np.minimum(n, n[i]) / np.maximum(n, n[i]) >= similarity)
+        if side is not None:
+            with_ &= side != side[i]
+        if not with_.any():
+            continue
+        mine = every[at[i] : at[i] + n[i]]
+        mark[mine] = True
+        for j in np.flatnonzero(with_).tolist():
+            if root[i] == root[j]:
+                continue
+            shared = np.count_nonzero(mark[every[at[j] : at[j] + n[j]]])
+            if shared / (n[i] + n[j] - shared) >= similarity:
+                out.append((i, j))
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+        mark[mine] = False
+    return out
+
+
+def verified(docs: DataFrame, members: DataFrame, shingle: int, similarity: float, stash: Stash) -> DataFrame:
+    """(a, b): links between texts, by hash, of one candidate component: forests of the pairs with that similarity.
+
+    docs: (id, th, text); members: (comp, size, id, th), one row a text of a component of several texts.
+    """
+
+    @F.pandas_udf("binary")
+    def sets(raw: pd.Series) -> pd.Series:
+        # A text without shingles has the set of zero alone, so such texts are alike.
+        found = (np.unique(shingles((x or b"").lower().split(), shingle)) if (x or b"").strip() else np.zeros(1, "<u8") for x in raw)
+        return pd.Series([x.astype("<u8").tobytes() for x in found])
+
+    asked = members.select("comp", "size", F.col("id").alias("i"), F.col("th").alias("h"))
+    rows = docs.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).dropDuplicates(["th"])
+    rows = stash.keep(rows.select("comp", "size", "th", sets(F.col("text").cast("binary")).alias("set")))
+    parts = F.ceil(F.col("size") / CHUNK).cast("int")
+    dealt = rows.select("comp", "th", "set", F.pmod(F.xxhash64(F.lit(1), "th"), parts).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
+    dealt = dealt.select("comp", "th", "set", "c", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        th, c = pdf["th"].to_numpy(), pdf["c"].to_numpy()
+        side = None if pdf["x"].iat[0] == pdf["y"].iat[0] else c
+        found = np.array(same_sets([np.frombuffer(x, "<u8") for x in pdf["set"]], side, similarity), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": th[found[:, 0]], "b": th[found[:, 1]]})
+
+    return stash.keep(dealt.groupBy("comp", "x", "y").applyInPandas(compare, "a long, b long"))
+
+
+def alike_groups(docs: DataFrame, every: DataFrame, shingle: int, radius: int, tile: int | None, similarity: float, stash: Stash) -> DataFrame:
+    """(id, th, fp, component_id) of each document, whose components are those of verified links."""
+    reps = stash.keep(every.groupBy("fp", "th").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch")))
+    roots = components(links(reps.select("fp", "sketch").distinct(), radius, stash, tile, similarity, errors=4), stash)
+    members = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "th", F.coalesce("root", "fp").alias("comp"))
+    sizes = members.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
+    members = stash.keep(members.join(sizes, "comp"))
+    roots = components(verified(docs, members, shingle, similarity, stash), stash)
+    named = reps.select("id", "th").join(roots.withColumnRenamed("node", "th"), "th", "left").select("id", "th", F.coalesce("root", "th").alias("root"))
+    named = stash.keep(named)
+    names = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    return every.drop("sketch").join(named.join(names, "root").select("th", "component_id"), "th")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, tile: int | None, similarity: float | None, exact: bool) -> DataFrame:
     """(id, th, fp, component_id) of each document; th is a hash of the whole text, which tells rows of equal ids apart."""
     stash = Stash(docs.sparkSession, "simhash")
-    described_by = fingerprints(shingle, BINS if similarity else 0)(F.col(text_col).cast("binary"))
+    described_by = fingerprints(shingle, BINS if similarity else 0, exact)(F.col(text_col).cast("binary"))
     every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), described_by.alias("d"))
     every = stash.keep(every.select("id", "th", "d.*"))
+    if exact:
+        texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+        return alike_groups(texts, every, shingle, radius, tile, similarity, stash)
     least = every.groupBy("fp").agg(F.min("id").alias("least"), F.min("sketch").alias("sketch"))
     roots = components(links(least.select("fp", "sketch"), radius, stash, tile, similarity), stash)
     named = stash.keep(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
@@ -226,15 +310,15 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
     return every.drop("sketch").join(named.join(names, "root").select("fp", "component_id"), "fp")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int | None = None, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int | None = None, similarity: float | None = None, exact: bool = False) -> DataFrame:
     """One row a document: its id, fingerprint (16 hex digits) and component_id, the least id it reaches over links."""
-    found = grouped(docs, id_col, text_col, shingle, radius, tile, similarity)
+    found = grouped(docs, id_col, text_col, shingle, radius, tile, similarity, exact)
     return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int | None = None, similarity: float | None = None) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int | None = None, similarity: float | None = None, exact: bool = False) -> DataFrame:
     """One document of each group: the one whose id names the component. Of equal rows one stays; rows with a null id all stay."""
-    found = grouped(docs, id_col, text_col, shingle, radius, tile, similarity).where("id is not null")
+    found = grouped(docs, id_col, text_col, shingle, radius, tile, similarity, exact).where("id is not null")
     marks = found.groupBy("id", "th").agg((F.first("id") != F.first("component_id")).alias("gone"), (F.count("*") > 1).alias("again"))
     marks = Stash(docs.sparkSession, "simhash").keep(marks.where("gone or again"))
     rows = carried(docs, id=F.col(id_col), th=F.xxhash64(text_col))
