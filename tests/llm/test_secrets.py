@@ -44,3 +44,33 @@ def test_edges(spark, trained):
     assert sorted((r.start, r.end) for r in out if r.doc_id == 3) == [(12, 52)] * 2
     assert {r.doc_id for r in out} == {3, None, 5} and all(0 <= r.probability <= 1 for r in out)
     assert secrets.scan(df.limit(0), model, pairs).count() == 0
+
+
+def test_values_after_key_words_and_equals_signs(spark):
+    texts = {
+        "token=9b0b3c6a43eb78aa99cbd7049c572391524f37a8": (6, 46),
+        "API_KEY=ghp_0aB1cD2eF3gH4iJ5kL6mN7oP8": (8, 37),
+        "AWS_SECRET_ACCESS_KEY_ID2=wJalrXUtnFEMIK7MDENG/bPx": (26, 50),
+        "password: Tr0ub4dor3 ": (10, 20),
+        "password: S3cr3t!Pass#word99": (10, 28),
+        'password = "qwErtyUiopAsdfGh"': (12, 28),
+        "The password is Hunter2Hunter2.": (16, 30),
+        "data dGhpcyBpcyBhIGtleSAxMjM0== end": (5, 31),
+        "passwords are plain words here": None,
+        "password: short1": None,
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.id: [] for r in df.selectExpr("doc_id as id").collect()}
+    for r in secrets.candidates(df).collect():
+        got[r.id].append((r.start, r.end))
+    assert {t: got[i] for i, t in enumerate(texts)} == {t: [x] if x else [] for t, x in texts.items()}
+
+
+def test_findings_without_a_candidate_count_as_missed(spark, trained):
+    model, pairs, rest = trained
+    assert secrets.missed(rest).count() == 0
+    found = secrets.scan(rest, model, pairs, "id").where("secret").select("id", "start")
+    hits = rest.where("label = 1").join(found, ["id", "start"], "left_semi").count()
+    assert hits / rest.where("label = 1").count() > 0.95
+    lost = spark.createDataFrame([(1, "plain words", 0, 1.0), (2, "plain words", 0, 0.0)], "id long, text string, start int, label double")
+    assert [r.id for r in secrets.missed(lost).collect()] == [1]

@@ -1,7 +1,9 @@
 """Secret scans with a random forest against false positives, in DataFrame operations only.
 
 Candidates are runs of key-like characters of at least LEAST_CHARS that hold a
-digit or mixed cases, found in whole texts. Each is described by its length,
+digit and a letter, and whatever value of at least LEAST_VALUE stands after a key
+word and a colon, equals sign or "is", found in whole texts. An equals sign is
+part of a candidate only as padding at its end. Each is described by its length,
 classes and transitions of its characters, how much of it a dictionary of common
 letter pairs covers, whether it lies in a path or URL, and the words beside it.
 A random forest, trained on labelled findings, gives each candidate a
@@ -20,6 +22,8 @@ Repeated rows are scanned as they are.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -31,7 +35,8 @@ from .common import Stash
 
 #: Shortest candidate, in code points.
 LEAST_CHARS = 16
-CANDIDATE = rf"(?<![A-Za-z0-9+/=_.~-])(?=[A-Za-z0-9+/=_.~-]*[0-9])(?=[A-Za-z0-9+/=_.~-]*[A-Za-z])[A-Za-z0-9+/_~-][A-Za-z0-9+/=_.~-]{{{LEAST_CHARS - 2},}}[A-Za-z0-9+/=_-](?![A-Za-z0-9+/=_~-])"
+#: Shortest value after a key word.
+LEAST_VALUE = 8
 #: Stands around a candidate while a text is cut; noncharacters do not occur in text, and are taken out first.
 MARK = "\ufdd0"
 THRESHOLD = 0.5
@@ -40,6 +45,14 @@ AROUND = 48
 #: Fixed lists: words that come before a secret, and words that say a value is none.
 KEY_WORDS = "token|secret|password|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|auth|authorization|bearer|credential|private[_ -]?key|client[_ -]?secret|signature"
 OTHER_WORDS = "sha1|sha256|sha512|md5|commit|checksum|digest|hash|etag|uuid|guid|revision|integrity|example|sample|placeholder|dummy|test|changeme|redacted|request[_ -]?id|trace[_ -]?id|version|build"
+RUN = "[A-Za-z0-9+/_.~-]"
+VALUE = "[A-Za-z0-9+/_.~!#$%*?@^-]"
+#: What stands before a value; the cheap look at one or two characters comes first, as this is tried at every place.
+AFTER_KEY = rf"(?<=[:=>\"'`]|[:=>s] )(?<=(?i:{KEY_WORDS})[A-Za-z0-9_-]{{0,16}}[\"'`]? {{0,2}}(?:=>|:=|[:=]|\bis ) {{0,2}}[\"'`]?)"
+CANDIDATE = (
+    rf"(?:{AFTER_KEY}{VALUE}{{{LEAST_VALUE - 1},}}[A-Za-z0-9+/_!#$%*@^-]={{0,2}}(?![A-Za-z0-9+/=_!#$%*@^-])"
+    rf"|(?<!{RUN})(?={RUN}*[0-9])(?={RUN}*[A-Za-z])[A-Za-z0-9+/_~-]{RUN}{{{LEAST_CHARS - 2},}}[A-Za-z0-9+/_-]={{0,2}}(?![A-Za-z0-9+/=_~-]))"
+)
 #: Fixed: how known services begin their keys.
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abpr]-|sk_live_|rk_live_|sk-|AIza|ya29\\.|eyJ|SG\\.|npm_|hf_|pypi-"
 
@@ -71,8 +84,8 @@ FEATURES = (
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, value, before, after) of each candidate in whole texts."""
     text = F.replace(F.col(text_col), F.lit(MARK), F.lit(" "))
-    # Texts without a run of the least length are not cut at all.
-    some = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.col("text").rlike(rf"[A-Za-z0-9+/=_.~-]{{{LEAST_CHARS}}}"))
+    # Texts without a run of the least length or a key word before a value are not cut at all.
+    some = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.col("text").rlike(rf"{RUN}{{{LEAST_CHARS}}}|{AFTER_KEY}{VALUE}{{{LEAST_VALUE}}}"))
     parts = some.select("id", F.split(F.regexp_replace("text", CANDIDATE, f"{MARK}$0{MARK}"), MARK).alias("p")).where(F.size("p") > 1)
     ends = F.expr("aggregate(transform(p, x -> char_length(x)), array(0), (a, n) -> concat(a, array(element_at(a, -1) + n)))")
     parts = parts.withColumn("at", ends)
@@ -150,6 +163,7 @@ def findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     word2 = pick("w2", "report", "index", "module", "handler", "config", "session", "archive", "document", "service", "image")
     key = pick("k", "token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret")
     sep = pick("s", ' = "', "=", ": ", ' => "', " ")
+    firm = pick("f", ' = "', "=", ": ", ' => "', " is ")
     other = pick("o", "commit ", "sha256: ", "md5 ", "checksum = ", "request_id=", "etag: ", "revision ", "uuid ")
     num = "cast(pmod(xxhash64('n', id), 100000) as string)"
     length = "cast(20 + pmod(xxhash64('l', id), 30) as int)"
@@ -169,6 +183,11 @@ def findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (f"concat({key}, {sep})", f"concat('your-', {word}, '-', {word2}, '-here-', {num})", 0),
         (f"concat({word}, ' ')", f"concat({word}, '.', {word2}, '-', {num}, '.example.com')", 0),
         (f"concat({word}, ' ')", "concat('2024', lpad(cast(pmod(id, 12) + 1 as string), 2, '0'), '01T', lpad(cast(pmod(id, 24) as string), 2, '0'), '0000Z-run', cast(id as string))", 0),
+        (f"concat({key}, {firm})", f"concat(substring({b64('m')}, 1, 4 + cast(pmod(id, 5) as int)), {pick('x', '!', '#', '@', '$', '%')}, substring({b64('n')}, 1, 4), cast(pmod(id, 7) as string))", 1),
+        (f"concat({key}, {firm})", f"substring({b64('v')}, 1, cast(10 + pmod(id, 6) as int))", 1),
+        (f"concat({key}, {firm})", f"substring(translate({b64('y')}, '0123456789', 'aBcDeFgHiJ'), 1, cast(14 + pmod(id, 12) as int))", 1),
+        (f"concat({key}, {firm})", f"concat({word}, {pick('z', '', '-', '_')}, {word2})", 0),
+        (f"concat({key}, {firm})", f"concat({pick('t', 'os.environ.', 'settings.', 'self.', 'config.')}, {word2}_)".replace("_)", ")"), 0),
     ]
     choose = lambda i: f"case pmod(id, {len(forms)}) " + " ".join(f"when {k} then {form[i]}" for k, form in enumerate(forms)) + " end"
     out = spark.range(rows).selectExpr("id", f"{choose(0)} as lead", f"{choose(1)} as value", f"{choose(2)} as secret")
@@ -178,8 +197,20 @@ def findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     return out.select("id", F.concat("around", "value", close).alias("text"), F.length("around").alias("start"), F.col("secret").cast("double").alias("label"))
 
 
+def missed(labelled: DataFrame) -> DataFrame:
+    """Labelled secrets (id, text, start, label) at whose start no candidate begins: what no forest can find."""
+    found = candidates(labelled, "id", "text").select("id", "start").distinct()
+    return labelled.where("label = 1").join(found, ["id", "start"], "left_anti")
+
+
 def train(labelled: DataFrame, pairs: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7) -> PipelineModel:
-    """Forest of labelled findings (id, text, start, label); a text's candidate at start carries the label, others are left out."""
+    """Forest of labelled findings (id, text, start, label); a text's candidate at start carries the label, others are left out.
+
+    Labelled secrets without a candidate cannot be learned; they are counted in a warning.
+    """
+    lost = missed(labelled).count()
+    if lost:
+        warnings.warn(f"{lost} labelled secrets have no candidate at their start", stacklevel=2)
     found = candidates(labelled, "id", "text")
     rows = described(found, pairs).join(labelled.select("id", F.col("start").alias("_start"), "label"), "id").where("start = _start")
     # Written once: fitting reads them in several jobs.
