@@ -64,3 +64,14 @@ def test_empty_and_wordless(spark):
     assert mixing.repetitions(df).count() == 0 and mixing.mixed(df).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], df.schema)
     assert [(r.target, r.times) for r in mixing.repetitions(blank).collect()] == [(0.0, 0)] * 2
+
+
+def test_nearer_side_of_the_crossing_document(spark):
+    """A long document early in the order does not leave a source far under its target."""
+    sizes = {f"s{i}": [400, 30, 20, 10, 5, 3, 50, 7] for i in range(9)}
+    rows = [(100 * k + n, " ".join(["w"] * size), s) for k, (s, every) in enumerate(sizes.items()) for n, size in enumerate(every)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain, near = ({(r.source, r.id): r for r in mixing.repetitions(df, nearer=x).collect()} for x in (False, True))
+    off = lambda got, s: abs(sum(r.times * r.size for r in got.values() if r.source == s) - next(r.target for r in got.values() if r.source == s))
+    assert all(off(near, s) <= off(plain, s) for s in sizes) and any(off(near, s) < off(plain, s) for s in sizes)
+    assert all(off(near, s) <= 200 for s in sizes) and max(r.times for r in near.values()) <= 3

@@ -9,7 +9,9 @@ first prefix of clamped sources leaves to the rest.
 
 A document is taken a whole number of times, and once more for a seeded choice:
 documents of a source in the order of a seeded hash, until the fractional rest
-of its target is reached. The order is never sorted within one task: sums by
+of its target is reached. The document that would pass it is left out, as the
+contract's SQL has it, or with `nearer` taken if that ends nearer to the target;
+the words taken are then within half that document of it. The order is never sorted within one task: sums by
 hash bucket find the bucket in which the rest runs out, and only that bucket is
 ordered.
 
@@ -63,7 +65,7 @@ def seeded(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
 
 
-def repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED, stash: Stash | None = None) -> DataFrame:
+def repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED, stash: Stash | None = None, nearer: bool = False) -> DataFrame:
     """One row a document: (id, source, size, source_size, target, times)."""
     stash = stash or Stash(docs.sparkSession, "mixing")
     every = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size"))
@@ -87,7 +89,13 @@ def repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edge = mine.where("state = 1")
     # Rows of equal id and size stand or fall together.
     run = Window.partitionBy("source", "bucket").orderBy("h", "id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = edge.withColumn("extra", F.when(F.col("before") + F.sum("size").over(run) <= F.col("rest"), 1).otherwise(0))
+    after = F.col("before") + F.sum("size").over(run)
+    within = after <= F.col("rest")
+    if nearer:
+        # The rows that cross: none of them, or all, whichever leaves less.
+        own = F.sum("size").over(Window.partitionBy("source", "bucket", "h", "id", "size"))
+        within = within | (after - own < F.col("rest")) & (after - F.col("rest") < F.col("rest") - (after - own))
+    edge = edge.withColumn("extra", F.when(within, 1).otherwise(0))
     # A whole further repetition would pass the epochs only if the rest were as large as the source, which it is not.
     both = clear.unionByName(edge)
     return both.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("long").alias("times"))
