@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -82,3 +83,22 @@ def test_encode_and_decode_columns(spark, theirs):
     ids = df.select(bpe.encoder(spark, PATH)("text").alias("ids"))
     assert ids.collect()[0].ids == theirs.encode("one two", add_special_tokens=False).ids
     assert [r[0] for r in ids.select(bpe.decoder(spark, PATH)("ids")).collect()] == ["one two", ""]
+
+
+@pytest.mark.parametrize("word", ["abcdefghijklmnopqrstuvwxyz", "0123456789", "\u6f22\u5b57\u6587\u66f8\u65e5\u672c\u8a9e", "=", "ab", "1a="])
+def test_long_words(ours, theirs, word):
+    """A word of any length: as the library has it, in time that does not grow with its square."""
+    rng = random.Random(len(word))
+    short = "".join(rng.choice(word) for _ in range(5000))
+    assert ours.encode(short) == theirs.encode(short, add_special_tokens=False).ids
+    long = "".join(rng.choices(word, k=1_000_000 // len(word[0].encode())))
+    began = time.time()
+    ids = ours.encode(long)
+    assert time.time() - began < 15 and ours.decode(ids) == long
+
+
+def test_both_ways_of_merging(ours):
+    rng = random.Random(8)
+    for _ in range(300):
+        s = "".join(rng.choice("aab thei\u00e9n==12") for _ in range(rng.randrange(1, 180))).encode()
+        assert ours.merge(s) == ours.merge_long(s)

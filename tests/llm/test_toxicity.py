@@ -1,5 +1,6 @@
 """Held-out accuracy, calibration and edge rows."""
 
+import time
 import zlib
 
 import numpy as np
@@ -64,3 +65,29 @@ def test_boosting_learns_an_interaction():
 def test_obfuscated_words():
     assert toxicity.plain_word(b"1d10t") == b"idiot"
     assert toxicity.plain_word(b"st.u.pid") == b"stupid"
+
+
+def test_long_words_are_read_once():
+    for w in (b"a" * 1_000_000, b"1" * 1_000_000, "\u6f22".encode() * 400_000, b"=" * 1_000_000, b"a." * 500_000):
+        began = time.time()
+        toxicity.features(w, {b"idiot": 1.0})
+        assert time.time() - began < 5
+
+
+def test_features_against_a_plain_reading():
+    """Counts of a text, taken again character by character."""
+    lexicon = {b"idiot": 2.0, b"fool": 1.0}
+    for text in ("You IDIOT!! what a f.o.o.l, an id1ot", "the fool said: 'hm?' YES YES", "one\ttwo  three", "A-b_c 1d10t fo0l!", "\u00e9t\u00e9 idiot tu"):
+        f = toxicity.features(text.encode(), lexicon)
+        marks = set("!?.,;:'\"()[]{}-_/\\*#$%&@^~|+=<>`")
+        words = "".join(" " if c in marks else c.lower() if c.isascii() else c for c in text).split()
+        found = [k for k, w in enumerate(words) if w.encode() in lexicon]
+        assert f[0] == np.log1p(len(words)) and f[1] == len(found) / len(words) and f[3] == len({words[k] for k in found})
+        assert f[4] == sum(lexicon[words[k].encode()] for k in found) / len(words)
+        near = sum(any(abs(k - j) <= 4 and words[j].encode() in toxicity.YOU for j in range(len(words))) for k in found)
+        assert f[8] == near
+        raw = text.encode()
+        letters = sum(b > 127 or chr(b).isalpha() for b in raw)
+        assert f[9] == sum(65 <= b <= 90 for b in raw) / letters
+        assert f[11] == sum(chr(b) in marks for b in raw) / len(raw) and f[12] == text.count("!") / len(words)
+        assert f[17] == ("id1ot" in text)

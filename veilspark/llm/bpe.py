@@ -6,14 +6,19 @@ boundaries, which is a test of adjacent pairs alone; all pairs of all new words
 of a batch are tested together in numpy. Only words with a failing pair are
 merged rule by rule.
 
-Nulls and empty texts encode to no tokens. Decoding ids that were encoded from
-a text gives that text back.
+Nulls and empty texts encode to no tokens; an empty table gives an empty table.
+Decoding ids that were encoded from a text gives that text back. Texts are
+encoded whole, and a word of any length costs its length times a logarithm.
+Among rules that could act, the lowest acts first, and of its places the first.
+Rows that repeat are encoded each, and alike. Other columns pass as they are;
+own columns called n_tokens, ids_sha256 or decoded_sha256 are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -21,11 +26,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, small_batches, unpacked
+from .common import carried, release, small_batches, unpacked
 
 #: Fixed: the split pattern of the byte-level vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 40
+#: Bytes of a word from which on its merges are kept in a heap: the result is the same.
+LONG_WORD = 200
 #: Words remembered by a Python worker; beyond it the memory starts anew, which costs time only.
 REMEMBERED = 300_000
 
@@ -81,6 +88,8 @@ class ByteBPE:
 
     def merge(self, s: bytes) -> list[int]:
         """Exact result: the first pair of the lowest rule is merged, again and again."""
+        if len(s) > LONG_WORD:
+            return self.merge_long(s)
         ids, get, made = [self.single[b] for b in s], self.rules.get, self.made
         ranks = [get(p, NEVER) for p in zip(ids, ids[1:], strict=False)]
         while ranks and (r := min(ranks)) != NEVER:
@@ -93,6 +102,31 @@ class ByteBPE:
                 ranks[k] = get((ids[k], ids[k + 1]), NEVER)
         return ids
 
+    def merge_long(self, s: bytes) -> list[int]:
+        """As merge, with the pairs in a heap by rule and place, and links between the pieces that are left: a step costs a logarithm."""
+        ids, get, made, n = [self.single[b] for b in s], self.rules.get, self.made, len(s)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 40 | i for i, p in enumerate(zip(ids, ids[1:], strict=False)) if (r := get(p, NEVER)) != NEVER]
+        heapify(heap)
+        place = (1 << 40) - 1
+        while heap:
+            top = heappop(heap)
+            i, r = top & place, top >> 40
+            j = after[i]
+            # A piece that is gone is -1, and no rule has it; a piece that has changed has another rule.
+            if j >= n or get((ids[i], ids[j])) != r:
+                continue
+            ids[i], ids[j] = made[r], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (x := get((ids[i], ids[k]), NEVER)) != NEVER:
+                    heappush(heap, x << 40 | i)
+            h = before[i]
+            if h >= 0 and (x := get((ids[h], ids[i]), NEVER)) != NEVER:
+                heappush(heap, x << 40 | h)
+        return [i for i in ids if i >= 0]
+
     def propose(self, s: bytes) -> list[int]:
         out, i, n, token, reach = [], 0, len(s), self.token, self.reach
         while i < n:
@@ -252,6 +286,7 @@ def digests(spark: SparkSession, path: str):
             for ids in bpe.encode_all(held):
                 text = bpe.decode_joined(ids)
                 rows.append((ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        release()
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest

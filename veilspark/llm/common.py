@@ -36,6 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system: an idle worker stands beside the executor of the next stage."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are long: hand them to Python a thousand at a time, unless the session already asks for fewer or others than the default."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

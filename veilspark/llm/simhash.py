@@ -24,8 +24,13 @@ Cost: copies of a text share one fingerprint, so they cost one row. Distinct
 fingerprints are compared in pairs of tiles, which is quadratic work divided by
 what the population counts skip; the tile size bounds a task's memory.
 
-Null and empty texts have fingerprint zero and link like any other. A null id
-never becomes a component's name; a component of null ids only has a null name.
+Null and empty texts have fingerprint zero and link like any other; an empty
+table has no components. A null id never becomes a component's name; a component
+of null ids only has a null name. Rows that repeat, also under one id, share a
+fingerprint and so a component. A shingle bit that is set in just half the
+shingles is 0. Texts of any length are read whole, a block of shingles at a time.
+Other columns do not matter, whatever they are called: a result has its own, or
+(keep_first) the columns of the table.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, carried, components, unpacked
+from .common import Stash, carried, components, release, unpacked
 
 #: Fingerprints of a tile, least and most; between them an eighth of all, so that small inputs still make some dozens of tasks.
 TILES = (8_192, 262_144)
@@ -92,6 +97,7 @@ def fingerprints(size: int = 4, bins: int = 0, once: bool = False):
     @F.pandas_udf("fp long, sketch binary")
     def fp(raw: pd.Series) -> pd.DataFrame:
         values = [described(x or b"", size, bins, once) for x in raw]
+        release()
         return pd.DataFrame({"fp": np.array([v for v, _ in values], dtype=np.uint64).view(np.int64), "sketch": [k.tobytes() for _, k in values]})
 
     return fp
@@ -262,7 +268,9 @@ def verified(docs: DataFrame, members: DataFrame, shingle: int, similarity: floa
     def sets(raw: pd.Series) -> pd.Series:
         # A text without shingles has the set of zero alone, so such texts are alike.
         found = (np.unique(shingles((x or b"").lower().split(), shingle)) if (x or b"").strip() else np.zeros(1, "<u8") for x in raw)
-        return pd.Series([x.astype("<u8").tobytes() for x in found])
+        out = pd.Series([x.astype("<u8").tobytes() for x in found])
+        release()
+        return out
 
     asked = members.select("comp", "size", F.col("id").alias("i"), F.col("th").alias("h"))
     rows = docs.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).dropDuplicates(["th"])

@@ -8,7 +8,11 @@ scored in full, in one pass.
 
 Null and empty texts are scored like any other, from zero features. Without
 labelled rows of both classes every score is the share of label 1 (0 if there
-are no labels). Labels are taken per id: the largest, nulls left out.
+are no labels); an empty table has no scores. Labels are taken per id: the
+largest, nulls left out. Rows that repeat are scored each, and alike; those of a
+labelled id are all learned from. Texts of any length, also of one word, are
+read once, in time that grows with their length. Ties of scores share a pool of
+the calibration. Other columns pass as they are, under any name.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, carried, release, small_batches, unpacked
 
 #: Labelled rows that the lexicon, the trees and the calibration see at most.
 MAX_TRAIN = 12_000
@@ -38,7 +42,8 @@ PLAIN = bytes(32 if b in MARKS else b + 32 if 65 <= b <= 90 else b for b in rang
 ALIKE = bytes.maketrans(b"013457@$!|", b"oieastasil")
 #: Fixed list: second-person words of the four languages of the tables.
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos ti usted ustedes vosotros tus".encode().split())
-HIDDEN = re.compile(rb"[A-Za-z]+[0-9@$!|*._-]+[A-Za-z][A-Za-z0-9@$!|*._-]*")
+#: Starts at the beginning of a run of letters and never goes back into one, so a long word is read once.
+HIDDEN = re.compile(rb"(?<![A-Za-z])[A-Za-z]++[0-9@$!|*._-]++[A-Za-z][A-Za-z0-9@$!|*._-]*+")
 DRAWN = re.compile(rb"([a-z])\1\1+")
 NEAR = 4
 FEATURES = 18
@@ -197,7 +202,9 @@ class Model:
 def feature_udf(lexicon: dict[bytes, float]):
     @F.pandas_udf("array<double>")
     def of(raw: pd.Series) -> pd.Series:
-        return pd.Series([np.array(features(x or b"", lexicon)) for x in raw], dtype=object)
+        out = pd.Series([np.array(features(x or b"", lexicon)) for x in raw], dtype=object)
+        release()
+        return out
 
     return of
 
@@ -236,14 +243,24 @@ def scorer(model: Model):
     @F.pandas_udf("double")
     def score(raw: pd.Series) -> pd.Series:
         x = np.array([features(t or b"", model.lexicon) for t in raw]).reshape(len(raw), FEATURES)
+        release()
         return pd.Series(model.score(x), dtype="float64")
 
     return score
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """Documents with a score (0 to 1); an own column of that name is replaced."""
-    return docs.withColumn(name, scorer(model).asNondeterministic()(F.col(text_col).cast("binary")))
+    """Documents with a score (0 to 1) after their own columns; an own column of that name is left out."""
+    small_batches(docs.sparkSession)
+    out = carried(docs, score=scorer(model).asNondeterministic()(F.col(text_col).cast("binary")))
+    return out.select(*unpacked(out, name), F.col("score").alias(name))
+
+
+def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
+    """Documents that score under `limit`, with their own columns alone, whatever those are called."""
+    small_batches(docs.sparkSession)
+    out = carried(docs, score=scorer(model).asNondeterministic()(F.col(text_col).cast("binary")))
+    return out.where(F.col("score") < limit).select(*unpacked(out))
 
 
 def held_out(id_col: str | Column = "doc_id", parts: int = 4, part: int = 2) -> Column:
