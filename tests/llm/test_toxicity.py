@@ -90,4 +90,4 @@ def test_features_against_a_plain_reading():
         letters = sum(b > 127 or chr(b).isalpha() for b in raw)
         assert f[9] == sum(65 <= b <= 90 for b in raw) / letters
         assert f[11] == sum(chr(b) in marks for b in raw) / len(raw) and f[12] == text.count("!") / len(words)
-        assert f[17] == ("id1ot" in text)
+        assert f[17] == 2 * ("id1ot" in text)
