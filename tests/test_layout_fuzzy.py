@@ -120,3 +120,38 @@ def test_hidden_styles_are_inherited(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "x")], "child string, parent string")
     seeds = spark.createDataFrame([("a",)], "child string")
     assert {r.child for r in layout.closure(edges, seeds).collect()} == {"a", "b", "c"}
+
+
+def test_inheritance_in_cycles_and_long_chains(spark):
+    seeds = spark.createDataFrame([("s0",), (None,)], "child string")
+    chain = [(f"s{i + 1}", f"s{i}") for i in range(500)]
+    cycle = [("s3", "c1"), ("c1", "c2"), ("c2", "c1"), ("c2", "s500"), ("self", "self"), (None, "s0"), ("free", None), ("o1", "o2"), ("o2", "o1")]
+    edges = spark.createDataFrame(chain + cycle + chain[:3], "child string, parent string")
+    got = sorted(r.child for r in layout.closure(edges, seeds).collect())
+    assert got == sorted([f"s{i}" for i in range(501)] + ["c1", "c2"])
+    twice = [layout.closure(spark.createDataFrame([e], "child string, parent string"), seeds) for e in (("a", "s0"), ("b", "s0"))]
+    assert [sorted(r.child for r in x.collect()) for x in twice] == [["a", "s0"], ["b", "s0"]]
+    assert layout.closure(edges.limit(0), seeds).count() == 1 and layout.closure(edges, seeds.limit(0)).count() == 0
+
+
+def test_review_without_rules(spark):
+    docs = D.detect(spark.createDataFrame([(1, "text")], "doc_id int, text string"))
+    runs = layout.runs(words(spark, simple("text")))
+    assert list(fuzzy.review(docs, runs, []).first()) == [1, [], [], [], 0, False, False]
+
+
+def test_many_candidates_are_an_error(spark):
+    found = spark.createDataFrame([(1, 0)] * 3 + [(2, 0)], "doc_id int, rule_id int")
+    assert [tuple(r) for r in fuzzy.too_many(found, 2).collect()] == [(1, "too_many_candidates")]
+    assert fuzzy.too_many(found).count() == 0
+
+
+def test_reviews_that_may_be_exported(spark):
+    rows = [(1, [], [], [], 0, False, False), (2, [1], [], [], 0, False, True)]
+    reviews = spark.createDataFrame(rows, REVIEW)
+    assert [r.doc_id for r in fuzzy.exportable(reviews, False).collect()] == [1] and fuzzy.exportable(reviews, True).count() == 2
+    with pytest.raises(TypeError):
+        fuzzy.exportable(reviews, None)
+    found = spark.createDataFrame([(1, 4, 9)], "doc_id int, start int, end int")
+    docs = D.detect(spark.createDataFrame([(1, "a@b.org x")], "doc_id int, text string"))
+    assert [(r.kind, r.start, r.ocr_candidate) for r in fuzzy.all_matches(docs, found).orderBy("n").collect()] == [("email", 0, False), ("custom", 4, True)]

@@ -454,31 +454,57 @@ def noisy_words(spark, sf_dir):
     return layout.with_offsets(w)
 
 
-NOISY = """, nz0 AS (SELECT * REPLACE (CASE WHEN word_no = 9 THEN CASE doc_id // 10 % 4 WHEN 0 THEN 'Inquerable' WHEN 1 THEN 'lnquerable' WHEN 2 THEN 'lnquerab1e' ELSE 'Inquer_able' END
+#: All sequences of tokens of all runs, by length, against both usable rules; `covered` are the words of exact values.
+NOISY = (
+    """, nz0 AS (SELECT * REPLACE (CASE WHEN word_no = 9 THEN CASE doc_id // 10 % 4 WHEN 0 THEN 'Inquerable' WHEN 1 THEN 'lnquerable' WHEN 2 THEN 'lnquerab1e' ELSE 'Inquer_able' END
     WHEN word_no = 10 THEN CASE WHEN doc_id // 10 % 4 = 3 THEN 'Secrat' ELSE 'Secret' END WHEN word_no = 25 THEN 'Licensed' WHEN word_no = 26 THEN 'Apache' ELSE text END AS text) FROM words),
-nz AS (SELECT * EXCLUDE (s), CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-   + row_number() OVER (PARTITION BY doc_id ORDER BY word_no) - 1 + (page - 1) AS BIGINT) AS s FROM (SELECT *, 0 AS s FROM nz0)),
-pair AS (SELECT x.doc_id, x.page, x.word_no, x.s, y.s + length(y.text) AS e, lower(regexp_replace(x.text || y.text, '[^A-Za-z0-9]', '', 'g')) AS t, x.confidence AS ca, y.confidence AS cb
-   FROM nz x JOIN nz y ON y.doc_id = x.doc_id AND y.word_no = x.word_no + 1 AND x.word_no IN (9, 25) AND x.is_ocr AND y.is_ocr),
-ca AS (SELECT *, CASE word_no WHEN 9 THEN 1 ELSE 2 END AS rule_id, CASE word_no WHEN 9 THEN levenshtein(t, 'inquerablesecret') ELSE levenshtein(t, 'licensedapache') END AS edits FROM pair),
-hit AS (SELECT * FROM ca WHERE edits <= CASE rule_id WHEN 1 THEN 2 ELSE 1 END)"""
-
-
-@query(O.with_words(NOISY + " SELECT doc_id, rule_id::BIGINT AS rule_id, page::BIGINT AS page, s::BIGINT AS span_start, e::BIGINT AS span_end, CASE WHEN edits = 0 THEN 'normalized' ELSE 'edit-distance' END AS method, edits::BIGINT AS edits, least(ca, cb) AS confidence FROM hit WHERE NOT (rule_id = 2 OR (rule_id = 1 AND doc_id // 10 % 4 = 0))").replace(")\n, nz0", "),\nnz0"))
+oz AS MATERIALIZED (SELECT * REPLACE (x0 + CASE WHEN word_no IN (9, 25) THEN 85 ELSE 8.0 * length(text) END AS x1), CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+   + row_number() OVER (PARTITION BY doc_id ORDER BY word_no) - 1 + (page - 1) AS BIGINT) AS s FROM nz0)"""
+    + RUNS.replace("FROM o WINDOW", "FROM oz WINDOW")
+    + r""", cut AS (SELECT *, regexp_extract_all(text, '[\p{L}\p{N}]+') AS t, regexp_extract_all(text, '[^\p{L}\p{N}]+') AS g, regexp_matches(text, '^[^\p{L}\p{N}]')::INT AS late FROM ru WHERE is_ocr),
+tk0 AS (SELECT doc_id, page, run, word_no, confidence, s, t, g, late, unnest(range(1, len(t) + 1)) AS k FROM cut),
+tk1 AS (SELECT doc_id, page, run, word_no, confidence, s + coalesce(list_sum(list_transform(t[1:k - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(g[1:k - 1 + late], lambda x: length(x))), 0) AS place, t[k] AS tok FROM tk0),
+tk AS MATERIALIZED (SELECT *, row_number() OVER w AS i, sum(length(v)) OVER w AS upto, doc_id // 10 % 4 = 0 AND word_no IN (9, 10) OR word_no IN (25, 26) AS covered
+  FROM (SELECT *, regexp_replace(replace(lower(tok), 'ß', 'ss'), '[^\x00-\x7f]', '#', 'g') AS v FROM tk1) WINDOW w AS (PARTITION BY doc_id, page, run ORDER BY place)),
+joined AS (SELECT doc_id, page, run, string_agg(v, '' ORDER BY i) AS whole FROM tk GROUP BY ALL),
+rule(rule_id, target, most) AS (VALUES (1, 'inquerablesecret', 2), (2, 'licensedapache', 1)),
+seq AS (SELECT x.doc_id, x.page, x.run, x.i AS a, y.i AS b, x.place AS s, y.place + length(y.tok) AS e, rule_id, target, most, substr(whole, (x.upto - length(x.v) + 1)::BIGINT, (y.upto - x.upto + length(x.v))::BIGINT) AS got
+  FROM tk x JOIN tk y ON y.doc_id = x.doc_id AND y.page = x.page AND y.run = x.run AND y.i BETWEEN x.i AND x.i + 18
+  JOIN rule ON y.upto - x.upto + length(x.v) BETWEEN length(target) - most AND length(target) + most JOIN joined j ON j.doc_id = x.doc_id AND j.page = x.page AND j.run = x.run),
+near AS MATERIALIZED (SELECT *, levenshtein(got, target) AS edits FROM seq WHERE levenshtein(got, target) <= most),
+kept AS (SELECT n.doc_id, n.page, n.rule_id, n.s, n.e, n.edits, min(t.confidence) AS confidence FROM near n JOIN tk t ON t.doc_id = n.doc_id AND t.page = n.page AND t.run = n.run AND t.i BETWEEN n.a AND n.b
+  GROUP BY ALL HAVING NOT bool_and(t.covered))"""
+)
+
+
+@query(O.with_words(NOISY + " SELECT doc_id, rule_id::BIGINT AS rule_id, page::BIGINT AS page, s::BIGINT AS span_start, e::BIGINT AS span_end, CASE WHEN edits = 0 THEN 'normalized' ELSE 'edit-distance' END AS method, edits::BIGINT AS edits, confidence FROM kept").replace(")\n, nz0", "),\nnz0"))
 def fuzzy_matches(spark, sf_dir):
     w = noisy_words(spark, sf_dir)
     texts = layout.rebuilt(w)
-    docs = D.detect(texts, literals=RULES)
+    docs = D.detect(texts, enabled=["custom"], literals=RULES)
     found = fuzzy.matches(docs, w, RULES, layout.runs(w, texts))
     return found.select("doc_id", F.col("rule_id").cast("long"), F.col("page").cast("long"), F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "method", F.col("edits").cast("long"), "confidence")
 
 
-@query()
+@query(O.with_words(NOISY + """, whole AS (SELECT doc_id, lower(string_agg(text, ' ' ORDER BY word_no)) AS t FROM oz GROUP BY doc_id),
+un AS (SELECT w.doc_id, string_agg(r.rule_id::VARCHAR, ',' ORDER BY r.rule_id) FILTER (NOT contains(t, lit) AND n.doc_id IS NULL) AS ids
+  FROM whole w CROSS JOIN (VALUES (1, 'inquerable secret'), (2, 'licensed apache'), (3, 'aaaaaaaa'), (4, 'short')) r(rule_id, lit) LEFT JOIN (SELECT DISTINCT doc_id, rule_id FROM near) n ON n.doc_id = w.doc_id AND n.rule_id = r.rule_id GROUP BY w.doc_id),
+c AS (SELECT doc_id, count(*) AS n, bool_or(confidence < 60) AS weak FROM kept GROUP BY doc_id)
+SELECT un.doc_id, coalesce(ids, '') AS unmatched, '3,4' AS too_short, coalesce(n, 0) AS n_candidates, coalesce(weak, false) AS weak, ids IS NOT NULL AS requires_confirmation,
+  concat_ws(',', CASE WHEN n > 0 THEN 'near_matches' END, CASE WHEN weak THEN 'low_or_unknown_score' END, CASE WHEN ids IS NOT NULL THEN 'unmatched_rules' END, 'short_rules') AS warnings
+FROM un LEFT JOIN c ON c.doc_id = un.doc_id""").replace(")\n, nz0", "),\nnz0"))
 def fuzzy_review(spark, sf_dir):
     w = noisy_words(spark, sf_dir)
     texts = layout.rebuilt(w)
-    out = fuzzy.warnings(fuzzy.review(D.detect(texts, literals=RULES), layout.runs(w, texts), RULES))
-    return out
+    out = fuzzy.warnings(fuzzy.review(D.detect(texts, enabled=["custom"], literals=RULES), layout.runs(w, texts), RULES))
+    joined = lambda c, name: F.array_join(c, ",").alias(name)
+    return out.select("doc_id", joined("unmatched_rule_ids", "unmatched"), joined("short_rule_ids", "too_short"), "n_candidates", "weak", "requires_confirmation", joined("warnings", "warnings"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT ps.p_partkey AS child, ps.p_partkey // 2 AS parent FROM part ps), h AS (SELECT 3::BIGINT AS child UNION SELECT e.child FROM e JOIN h ON e.parent = h.child) SELECT child FROM h""")
+def style_levels(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("child"), F.floor(F.col("p_partkey") / 2).cast("long").alias("parent"))
+    return layout.closure(p, spark.createDataFrame([(3,)], "child long"))
 
 
 @query("SELECT DISTINCT n_nationkey AS child FROM nation WHERE n_regionkey = 1 OR n_nationkey IN (SELECT 100 + r_regionkey FROM region) UNION SELECT 101")
@@ -589,9 +615,9 @@ def scans_listing(spark, sf_dir):
 
 @query("SELECT p_name AS name, (p_partkey % 4 = 0) AS is_dir, p_partkey FROM part ORDER BY is_dir DESC, lower(p_name), p_name, p_partkey LIMIT 150")
 def folder_listing(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), (F.col("p_partkey") % 4 == 0).alias("is_dir"), "p_partkey").orderBy("p_partkey")
-    order = Window.orderBy(F.desc("is_dir"), F.lower("name"), "name", "p_partkey")
-    return files.listing(p.withColumn("n", F.row_number().over(order)).where("n <= 150"), 150).drop("n")
+    # The order of rows of equal names goes by the key, so names are made to carry it.
+    p = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit("\t"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("name"), (F.col("p_partkey") % 4 == 0).alias("is_dir"), "p_partkey")
+    return files.listing(p, 150).select(F.substring_index("name", "\t", 1).alias("name"), "is_dir", "p_partkey")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS body FROM orders")
