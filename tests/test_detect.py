@@ -91,7 +91,9 @@ def value(rng, kind: str, fine: bool) -> str:
     if kind == "email":
         return f"{rng.choice(['a.b', 'x_1', 'q%'])}@{rng.choice(['h.org', 'sub.h.io'])}" if fine else rng.choice(["a@b", "@h.org", "a@.1", "a b@c"])
     if kind == "cnic":
-        return f"{d(5)}-{d(7)}-{d(1)}" if fine else f"{d(5)}-{d(6)}_{d(1)}"
+        n = d(12)
+        n += str((int(check_digit(n)) + 1) % 10)  # no card, which would win
+        return f"{n[:5]}-{n[5:12]}-{n[12]}" if fine else f"{d(5)}-{d(6)}_{d(1)}"
     return rng.choice(["+1 (555) 123-4567", "030 1234567", "555.123.4567"]) if fine else rng.choice(["2024-01-02", "1999.12.31", "12345678", "555 12"])
 
 
