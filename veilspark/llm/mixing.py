@@ -9,14 +9,17 @@ first prefix of clamped sources leaves to the rest.
 
 A document is taken a whole number of times, and once more for a seeded choice:
 documents of a source in the order of a seeded hash, until the fractional rest
-of its target is reached. The document that would pass it is left out, as the
-contract's SQL has it, or with `nearer` taken if that ends nearer to the target;
-the words taken are then within half that document of it. The order is never sorted within one task: sums by
+of its target is reached. The document that would pass it is left out, or with
+`nearer` taken if that ends nearer to the target; the words taken are then within
+half that document of it. The order is never sorted within one task: sums by
 hash bucket find the bucket in which the rest runs out, and only that bucket is
 ordered.
 
 Null sources are a source of their own and come last. Null and empty texts have
 size 0 and follow the same rules. No sources, or no words: all targets are 0.
+Rows of one id, source and size are taken as often as each other, and copies
+count with their words; equal hashes go by id, then size. Texts of any length are
+one row that is counted whole. Columns of any other name come out as they were.
 """
 
 from __future__ import annotations

@@ -57,7 +57,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.repetitions(table(spark, sf_dir, "documents"))
+    out = mixing.repetitions(table(spark, sf_dir, "documents"), nearer=True)
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
@@ -82,9 +82,9 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    pairs = Stash(spark, "secrets").keep(secrets.pair_table(docs))
-    model = secrets.train(secrets.findings(spark), pairs)
-    out = secrets.scan(docs, model, pairs)
+    known = Stash(spark, "secrets").keep(secrets.dictionary(docs))
+    model = secrets.train(secrets.findings(spark), known)
+    out = secrets.scan(docs, model, known)
     return out.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "secret")
 
 
@@ -107,9 +107,10 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
 t AS (SELECT *, least(cap, weight * (SELECT arg_min(level, cap / weight + rank * 1e-12) FROM l WHERE cap >= level * weight)) AS target FROM l),
 g AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS rest,
-        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size RANGE UNBOUNDED PRECEDING) AS run
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size RANGE UNBOUNDED PRECEDING) AS run,
+        sum(d.size) OVER (PARTITION BY d.source, d.h, d.doc_id, d.size) AS own
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND (run <= rest OR run - own < rest AND run - rest < rest - (run - own)) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
 """
 
 URL_SQL = """

@@ -4,8 +4,8 @@ Candidates are runs of key-like characters of at least LEAST_CHARS that hold a
 digit and a letter, and whatever value of at least LEAST_VALUE stands after a key
 word and a colon, equals sign or "is", found in whole texts. An equals sign is
 part of a candidate only as padding at its end. Each is described by its length,
-classes and transitions of its characters, how much of it a dictionary of common
-letter pairs covers, whether it lies in a path or URL, and the words beside it.
+classes and transitions of its characters, how much of it a dictionary covers,
+whether it lies in a path or URL, and the words beside it.
 A random forest, trained on labelled findings, gives each candidate a
 probability; findings from THRESHOLD on are secrets.
 
@@ -13,11 +13,15 @@ The labelled findings that come with the operator are made by `findings`: texts
 with keys, tokens and passwords in the forms that services give them, and texts
 with what scanners take for them: digests, identifiers, placeholders, file paths,
 long words. A table of one's own findings (text, start, secret) can be given
-instead. The dictionary is built from words of the scanned corpus: the share of
-letter pairs of a candidate that are frequent in it.
-
-Null and empty texts have no candidates. Offsets are code points from 0.
-Repeated rows are scanned as they are.
+instead. The dictionary is built from the scanned corpus: its frequent words and
+letter pairs; the share of a candidate's characters in such words, and the share
+of its letter pairs that are frequent, are features.
+
+Null and empty texts have no candidates, nor has an empty table. Offsets are code
+points from 0; of candidates that could overlap the first and longest stands.
+Texts are cut whole, whatever their length. Repeated rows are scanned each.
+Columns of other names are not read and do not come out. Frequent words and pairs
+that tie at the limit go by name.
 """
 
 from __future__ import annotations
@@ -68,6 +72,7 @@ FEATURES = (
     "repeat",
     "distinct",
     "known_pairs",
+    "known_words",
     "word_run",
     "path",
     "url",
@@ -105,29 +110,33 @@ def share(pattern: str) -> Column:
     return F.regexp_count("value", F.lit(pattern)) / F.length("value")
 
 
-def pair_table(docs: DataFrame, text_col: str = "text", most: int = 300) -> DataFrame:
-    """One row with the `most` frequent letter pairs of all words of a corpus.
+def dictionary(docs: DataFrame, text_col: str = "text", most_pairs: int = 300, most_words: int = 5000) -> DataFrame:
+    """One row: the frequent letter pairs (pairs) and words of three letters or more (words) of a corpus.
 
-    Every text is counted: letters of pairs are read at even and at odd places.
-    At most 26 * 26 pairs are counted, whatever the corpus.
+    All words of all texts count, after runs as long as candidates are taken out.
+    They are counted first, so that pairs are read once a different word.
     """
-    low = F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[A-Za-z0-9+/=_.~-]{16,}", " "))
-    twos = F.concat(F.regexp_extract_all(low, F.lit("([a-z]{2})"), 1), F.regexp_extract_all(F.substr(low, F.lit(2)), F.lit("([a-z]{2})"), 1))
-    counts = docs.select(F.explode(twos).alias("two")).groupBy("two").count()
-    best = counts.orderBy(F.desc("count"), "two").limit(most)
-    return best.agg(F.sort_array(F.collect_list("two")).alias("pairs"))
+    low = F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), rf"{RUN}{{{LEAST_CHARS},}}", " "))
+    words = docs.select(F.explode(F.split(low, "[^a-z]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = Stash(docs.sparkSession, "dictionary").keep(words.where("length(word) between 2 and 40"))
+    twos = words.select("n", "word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i")).select("n", F.expr("substring(word, i, 2)").alias("two"))
+    top = lambda df, by, most, name: df.groupBy(by).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), by).limit(most).agg(F.sort_array(F.collect_list(by)).alias(name))
+    # Two rows of bounded arrays side by side.
+    return top(twos, "two", most_pairs, "pairs").withColumn("_k", F.lit(1)).join(top(words.where("length(word) > 2"), "word", most_words, "words").withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def described(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Candidates with FEATURES. pairs: the one row of pair_table."""
+def described(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Candidates with FEATURES. known: the one row of dictionary."""
     v, before, after = F.col("value"), F.lower("before"), F.lower("after")
     has = lambda c, p: c.rlike(p).cast("double")
     low = F.lower(v)
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[A-Z]", "A"), "[a-z]", "b"), "[0-9]", "0"), "[^Ab0]", "-")
     runs = F.regexp_replace(kinds, r"(.)\1+", "$1")
-    known = F.expr("size(filter(transform(sequence(1, greatest(char_length(value) - 1, 1)), i -> substring(lower(value), i, 2)), x -> array_contains(pairs, x)))")
-    # A corpus has one row of pairs, broadcast with each candidate row kept once.
-    joined = found.withColumn("_one", F.lit(1)).join(F.broadcast(pairs.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    pairs = F.expr("size(filter(transform(sequence(1, greatest(char_length(value) - 1, 1)), i -> substring(lower(value), i, 2)), x -> array_contains(pairs, x)))")
+    parts = "split(lower(regexp_replace(value, '([a-z])([A-Z])', '$1 $2')), '[^a-z]+')"
+    covered = F.expr(f"aggregate(filter({parts}, x -> array_contains(words, x)), 0, (n, x) -> n + char_length(x))")
+    # A corpus has one row of bounded size, broadcast with each candidate row kept once.
+    joined = found.withColumn("_one", F.lit(1)).join(F.broadcast(known.withColumn("_one", F.lit(1))), "_one").drop("_one")
     cols = {
         "length": F.length(v).cast("double"),
         "upper": share("[A-Z]"),
@@ -139,7 +148,8 @@ def described(found: DataFrame, pairs: DataFrame) -> DataFrame:
         "changes": F.length(runs) / F.length(v),
         "repeat": F.regexp_count(v, F.lit(r"(.)\1")) / F.length(v),
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.length(v),
-        "known_pairs": known / F.length(v),
+        "known_pairs": pairs / F.length(v),
+        "known_words": covered / F.length(v),
         "word_run": F.array_max(F.transform(F.split(low, "[^a-z]+"), F.length)) / F.length(v),
         "path": has(F.concat(F.right(before, F.lit(8)), v), r"/[^/ ]*/|^\.?/|\\\\"),
         "url": has(F.concat(before, v), r"(https?|ftp)://[^ ]*$|www\.[^ ]*$"),
@@ -151,7 +161,7 @@ def described(found: DataFrame, pairs: DataFrame) -> DataFrame:
         "prefix": has(v, f"^({PREFIXES})"),
         "dots": F.regexp_count(v, F.lit(r"\.")).cast("double"),
     }
-    return joined.select("*", *[cols[f].cast("double").alias(f"f_{f}") for f in FEATURES]).drop("pairs")
+    return joined.select("*", *[cols[f].cast("double").alias(f"f_{f}") for f in FEATURES]).drop("pairs", "words")
 
 
 def findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
@@ -203,7 +213,7 @@ def missed(labelled: DataFrame) -> DataFrame:
     return labelled.where("label = 1").join(found, ["id", "start"], "left_anti")
 
 
-def train(labelled: DataFrame, pairs: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7) -> PipelineModel:
+def train(labelled: DataFrame, known: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7) -> PipelineModel:
     """Forest of labelled findings (id, text, start, label); a text's candidate at start carries the label, others are left out.
 
     Labelled secrets without a candidate cannot be learned; they are counted in a warning.
@@ -212,15 +222,15 @@ def train(labelled: DataFrame, pairs: DataFrame, trees: int = 40, depth: int = 8
     if lost:
         warnings.warn(f"{lost} labelled secrets have no candidate at their start", stacklevel=2)
     found = candidates(labelled, "id", "text")
-    rows = described(found, pairs).join(labelled.select("id", F.col("start").alias("_start"), "label"), "id").where("start = _start")
+    rows = described(found, known).join(labelled.select("id", F.col("start").alias("_start"), "label"), "id").where("start = _start")
     # Written once: fitting reads them in several jobs.
     rows = Stash(labelled.sparkSession, "findings").keep(rows.select("label", *[f"f_{f}" for f in FEATURES]))
     stages = [VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="_x"), RandomForestClassifier(featuresCol="_x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8)]
     return Pipeline(stages=stages).fit(rows)
 
 
-def scan(docs: DataFrame, model: PipelineModel, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: PipelineModel, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, start, end, value, probability, secret) of every candidate."""
-    out = model.transform(described(candidates(docs, id_col, text_col), pairs))
+    out = model.transform(described(candidates(docs, id_col, text_col), known))
     p = vector_to_array("probability")[1]
     return out.select(F.col("id").alias(id_col), "start", "end", "value", p.alias("probability")).withColumn("secret", F.col("probability") >= threshold)
