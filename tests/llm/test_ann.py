@@ -57,3 +57,16 @@ def test_spans_are_prefix_matches():
         lo, hi = ann.spans(e, q, length)
         for a, b, x in zip(lo, hi, q, strict=True):
             assert b - a == sum((int(v) ^ int(x)) >> (64 - length) == 0 for v in e)
+
+
+def test_repeated_query_ids_and_single_scores(spark):
+    """Of two vectors of one id the least by its bytes asks; a score is that of the pair alone."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 33))
+    rows = [(i, x[i].tolist(), "") for i in range(60)] + [(20, x[41].tolist(), ""), (20, x[42].tolist(), "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, q string")
+    least = min((x[20], x[41], x[42]), key=lambda v: v.astype("<f8").tobytes())
+    for shuffled in (df, df.orderBy(F.rand(5))):
+        got = {(r.query_id, r.vec_id): r.score for r in ann.search(shuffled, F.col("vec_id") % 20 == 0, k=70).collect()}
+        assert all(got[20, i] == float(np.dot(least, x[i])) for i in range(60) if i != 20)
+        assert all(got[0, i] == float(np.dot(x[0], x[i])) for i in range(1, 60) if i != 20)

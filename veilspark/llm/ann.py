@@ -23,7 +23,11 @@ of all rows, clustered data a small one.
 Equal vectors are one row, with the k + 1 least ids of their class, which is all
 that a result of k can show. Vectors that are null, empty, zero or hold null or
 non-finite components take no part, nor do null ids. Vectors of different
-lengths are searched apart. Ties go to the smaller id; repeated ids are one row.
+lengths are searched apart. Ties go to the smaller id; repeated ids are one row,
+whose vector as a query is the least by its bytes, and which as a candidate
+counts with its best. Scores of the result are computed anew for each pair, so a
+pair's score does not depend on what was scored beside it. An empty table, or no
+queries, gives an empty result; columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -69,6 +73,17 @@ def pack_udf():
     return pack
 
 
+def product_udf():
+    """UDF of two packed vectors -> their inner product, each pair by itself."""
+
+    @F.pandas_udf("double")
+    def product(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = ((np.frombuffer(x, "<f8"), np.frombuffer(y, "<f8")) for x, y in zip(a, b, strict=True))
+        return pd.Series([float(np.dot(x, y)) for x, y in pairs], dtype="float64")
+
+    return product
+
+
 def hash_udf(top: float, query: bool):
     """UDF packed vector -> its TREES strings, as longs in the order of the unsigned ones."""
 
@@ -189,7 +204,7 @@ def search(table: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: str
     n, top = reps.agg(F.count("*"), F.sqrt(F.max("sq"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = given.where("asked").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "raw").dropDuplicates(["query_id"])
+    queries = given.where("asked").groupBy(F.col("id").alias("query_id")).agg(F.min(F.struct("raw", "v")).alias("m")).select("query_id", F.col("m.v").alias("q"), "m.raw")
     distinct = queries.dropDuplicates(["q"]).select("q", "raw")
     if not distinct.limit(1).count():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -261,8 +276,11 @@ def nearest(data: DataFrame, probe: DataFrame, keys: list[str], members: DataFra
     # k + 1 classes hold the k nearest rows, whichever of them is the query itself.
     rank = Window.partitionBy("q").orderBy(F.desc("score"), "v")
     cutoff = Window.partitionBy("q")
-    found = found.withColumn("n", F.row_number().over(rank)).withColumn("last", F.min(F.when(F.col("n") <= k + 1, F.col("score"))).over(cutoff)).where("score >= last")
-    rows = found.join(members.select("v", "id"), "v").groupBy("q", "id").agg(F.max("score").alias("score"))
+    found = found.withColumn("n", F.row_number().over(rank)).withColumn("last", F.min(F.when(F.col("n") <= k + 1, F.col("score"))).over(cutoff))
+    # Block products round in their last digits; what is that close is scored again as well.
+    found = found.where(F.col("score") >= F.col("last") - F.abs("last") * 1e-9)
+    rows = found.join(members.select("v", "id", F.col("raw").alias("theirs")), "v").join(queries.select("q", "raw").dropDuplicates(["q"]), "q")
+    rows = rows.select("q", "id", product_udf()("raw", "theirs").alias("score")).groupBy("q", "id").agg(F.max("score").alias("score"))
     near = rows.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k + 1)
     out = queries.select("query_id", "q").join(near.select("q", "score", "id"), "q").where(F.col("id") != F.col("query_id"))
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))

@@ -13,20 +13,25 @@ All counts follow from those of byte strings of DEPTH + 1 bytes, which every
 training text adds to. The trees are built in buckets by the two bytes nearest
 to the coded one: a bucket holds whole subtrees, and what lies above them is at
 most 65,536 contexts, summed on the driver. Strings seen in training get their
-code length from a broadcast table while it holds MAX_STRINGS at most; more
-strings are dealt over several passes of the texts, by bucket. Strings unseen in
-training, few by nature, are collected per text and computed in their buckets.
+code length from a broadcast table of MAX_STRINGS at most; more strings are dealt
+over several passes of the texts, whole buckets at a time (a single bucket above
+that size is a pass of its own). Strings unseen in training, few by nature, are
+collected per text and computed in those buckets of the pass that are asked for.
 
 The base score is a unigram model with one added to each count. Its frequent
 words (MAX_WORDS at most) are broadcast, all others are joined.
 
-Null and empty texts have the end alone. Without training texts the score is
-that of a fair coin for each bit.
+Null and empty texts have the end alone; an empty table has no scores. Without
+training texts the score is that of a fair coin for each bit. Texts of any length
+are read whole, in chunks. Rows that repeat are learned from and scored each, and
+alike; words of equal counts at the limit of frequent ones go together. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -301,26 +306,33 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
 
     def known(pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf["s"].to_numpy().view(np.uint64)
-        return pd.DataFrame({"s": pdf["s"], "v": code(s, grow(s, pdf["n"].to_numpy()) | top.value)})
+        return pd.DataFrame({"bucket": pdf["bucket"], "s": pdf["s"], "v": code(s, grow(s, pdf["n"].to_numpy()) | top.value)})
 
     def unknown(seen: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         s = seen["s"].to_numpy().view(np.uint64)
         below = grow(s, seen["n"].to_numpy()) if len(seen) else dict.fromkeys(range(TOP, DEPTH + 1), EMPTY)
         return pd.DataFrame({"s": asked["s"], "v": code(asked["s"].to_numpy().view(np.uint64), below | top.value)})
 
-    codes = stash.keep(dealt.groupBy("bucket").applyInPandas(known, "s long, v double"))
-    passes = max(1, -(-n_strings // max_strings))
+    codes = stash.keep(dealt.groupBy("bucket").applyInPandas(known, "bucket int, s long, v double"))
+    turns = turns_of({r["bucket"]: r["count"] for r in dealt.groupBy("bucket").count().collect()}, buckets, max_strings)
+    passes = int(turns.max()) + 1
+    # 65,521 rows at most: which pass a bucket belongs to.
+    turn_of = spark.createDataFrame([(b, int(t)) for b, t in enumerate(turns)], "bucket int, turn int")
+    dealt = dealt.join(F.broadcast(turn_of), "bucket") if passes > 1 else dealt.withColumn("turn", F.lit(0))
+    codes = codes.join(F.broadcast(turn_of), "bucket") if passes > 1 else codes.withColumn("turn", F.lit(0))
     out = None
     for turn in range(passes):
-        mine = codes.where(F.pmod(bucket_col(F.col("s"), buckets), F.lit(passes)) == turn).select("s", F.col("v").cast("float")).toArrow()  # max_strings on average
+        mine = codes.where(F.col("turn") == turn).select("s", F.col("v").cast("float")).toArrow()  # max_strings at most, or one bucket
         table = spark.sparkContext.broadcast((mine["s"].to_numpy().view(np.uint64), mine["v"].to_numpy()))
         del mine
-        one = score_udf(common if turn == 0 else None, table, buckets, passes, turn).asNondeterministic()
+        one = score_udf(common if turn == 0 else None, table, turns, turn).asNondeterministic()
         part = every.select("id", "held", F.xxhash64("raw").alias("th"), one("raw").alias("r")).select("id", "held", "th", "r.*")
         part = stash.keep(part.withColumn("uid", F.monotonically_increasing_id()))
         lost = part.select("uid", F.explode("unseen").alias("s"))
         fresh = lost.select("s").distinct().withColumn("bucket", bucket_col(F.col("s"), buckets))
-        fresh = dealt.groupBy("bucket").cogroup(fresh.groupBy("bucket")).applyInPandas(unknown, "s long, v double")
+        # Trees grow only for buckets of this pass that a string asks for.
+        seen = dealt.where(F.col("turn") == turn).drop("turn").join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi")
+        fresh = seen.select("s", "n", "bucket").groupBy("bucket").cogroup(fresh.groupBy("bucket")).applyInPandas(unknown, "s long, v double")
         extra = lost.join(stash.keep(fresh), "s").groupBy("uid").agg(F.sum("v").alias("more"))
         part = part.join(extra, "uid", "left").withColumn("bits", F.col("bits") + F.coalesce("more", F.lit(0.0))).drop("unseen", "more")
         if out is None:
@@ -389,28 +401,41 @@ def summit(dealt: DataFrame) -> dict[int, Level]:
     return levels
 
 
-_TABLES: dict[int, Table] = {}
+#: The table of the model and pass that a Python worker scores with.
+_TABLES: dict[str, Table] = {}
 
 
-def score_udf(common, table, buckets: int, passes: int, turn: int):
+def turns_of(counts: dict[int, int], buckets: int, most: int) -> np.ndarray:
+    """The pass of each bucket: passes hold `most` strings at most, or a single larger bucket."""
+    out, loads = np.zeros(buckets, np.int32), [0]
+    for b, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        t = next((t for t, held in enumerate(loads) if not held or held + n <= most), len(loads))
+        if t == len(loads):
+            loads.append(0)
+        loads[t] += n
+        out[b] = t
+    return out
+
+
+def score_udf(common, table, turns: np.ndarray, turn: int):
     """UDF text as binary -> what this pass adds: sums over seen strings, unseen strings, and (first pass) token counts and rare words."""
-    name = table.id if hasattr(table, "id") else id(table)
+    name = uuid.uuid4().hex
+    several = len(turns) > 0 and int(turns.max()) > 0
 
     @F.pandas_udf("n_tokens long, n_known long, base double, rare array<binary>, bits double, unseen array<long>")
     def score(raw: pd.Series) -> pd.DataFrame:
-        key = hash((name, turn, passes))
-        if key not in _TABLES:
+        if name not in _TABLES:
             _TABLES.clear()
-            _TABLES[key] = Table(*table.value)
-        codes = _TABLES[key]
+            _TABLES[name] = Table(*table.value)
+        codes = _TABLES[name]
         texts = [tokens(x) for x in raw]
         bits, unseen = np.zeros(len(texts)), [[] for _ in texts]
         for of, buffer, starts, sizes in pieces(texts):
             s = strings(buffer)
             v, missing = codes.get(s)
             use = inside(starts, sizes, len(s))
-            if passes > 1:
-                use &= bucket_of(s, buckets) % np.uint64(passes) == np.uint64(turn)
+            if several:
+                use &= turns[bucket_of(s, len(turns)).astype(np.int64)] == turn
             v[~use] = 0.0
             np.add.at(bits, of, np.add.reduceat(v, starts))
             missing = missing[use[missing]]
