@@ -198,4 +198,6 @@ def test_streams(spark, tmp_path):
 
 
 def test_sample_files_are_what_the_queries_say(spark):
-    assert sample_files(spark).count() == 6
+    got = {r.path for r in sample_files(spark, "/root/testdata/sf0.001", "zip", "txt").select("path").collect()}
+    keys = [r.s_suppkey for r in spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").collect()]
+    assert got == {f"/in/{k}.{kind}" for k in keys for kind in ("zip", "txt")}

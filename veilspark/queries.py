@@ -8,6 +8,7 @@ import zipfile
 import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -648,81 +649,98 @@ def png(text: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"Comment\0" + text) + chunk(b"IDAT", zlib.compress(b"\0\0\0\0" * 2)) + chunk(b"IEND", b"") + b"tail"
 
 
-def sample_files(spark) -> DataFrame:
-    """A fixed set of small files: an archive, images and Office documents."""
+def files_of(key: int, name: str) -> dict[str, bytes]:
+    """Small files of a supplier: an archive, images, Office documents and a text; every fifth archive lacks a member, every second card number is wrong."""
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as a:
-        a.writestr("a.txt", "Mail one@example.org or two@example.org")
-        a.writestr("b/unknown.bin", b"\x01\x02")
+        a.writestr("a.txt", f"Mail s{key}@example.org or x{key % 3}@example.org")
+        if key % 5:
+            a.writestr("b/unknown.bin", b"\x01\x02")
         a.writestr("../escape.txt", "no")
         a.writestr("pic.png", png(b"secret"))
-    cells = [("First", 1, 1, "x@example.org", False), ("First", 1, 2, "42", True), ("First", 2, 1, "=cmd", False)]
-    rows = [
-        ("/in/bundle.zip", z.getvalue()),
-        ("/in/pic.png", png(b"hello")),
-        ("/in/photo.jpg", b"\xff\xd8\xff\xe1\x00\x08Exif\0\0\xff\xfe\x00\x05abc\xff\xda\x00\x02"),
-        ("/in/letter.docx", office.docx_file([(0, -1, -1, "Name: Ann Example"), (1, 0, 0, "a@example.org"), (1, 0, 1, "b")])),
-        ("/in/sheet.xlsx", office.xlsx_file(cells)),
-        ("/in/note.txt", "café 4111 1111 1111 1111".encode("cp1252")),
-    ]
-    return spark.createDataFrame(rows, "path string, content binary")
-
-
-@query("SELECT * FROM (VALUES ('a.txt', true, 2, 0, ''), ('b/unknown.bin', false, 0, 0, 'unsupported'), ('../escape.txt', false, 0, 0, 'unsafe_linked_or_encrypted'), ('pic.png', true, 0, 2, 'pixels_not_scanned')) t(name, supported, matches, metadata, note)")
+    note = str(key).encode()
+    cells = [("First", 1, 1, f"x{key}@example.org", False), ("First", 1, 2, str(key), True), ("First", 2, 1, "=cmd", False)]
+    return {
+        "zip": z.getvalue(),
+        "png": png(b"hello" + note),
+        "jpg": b"\xff\xd8\xff\xe1\x00\x08Exif\0\0\xff\xfe" + struct.pack(">H", 2 + len(note)) + note + b"\xff\xda\x00\x02",
+        "docx": office.docx_file([(0, -1, -1, f"Name: {name}"), (1, 0, 0, f"a{key}@example.org"), (1, 0, 1, "b")]),
+        "xlsx": office.xlsx_file(cells),
+        "txt": f"caf\u00e9 4111 1111 1111 111{1 + key % 2} of {key}".encode("cp1252"),
+    }
+
+
+def sample_files(spark, sf_dir, *kinds: str) -> DataFrame:
+    """(path, content): files of each supplier, made from its row."""
+
+    def make(frames):
+        for pdf in frames:
+            rows = [(f"/in/{k}.{kind}", raw) for k, n in zip(pdf["s_suppkey"], pdf["s_name"], strict=True) for kind, raw in files_of(int(k), n).items() if kind in kinds]
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").mapInPandas(make, "path string, content binary")
+
+
+SUPPLIER = "cast(regexp_extract(path, '([0-9]+)', 1) as bigint) as s_suppkey"
+
+
+@query("SELECT s_suppkey::BIGINT AS s_suppkey, name, supported, matches, metadata, note FROM supplier CROSS JOIN (VALUES ('a.txt', true, 2, 0, ''), ('b/unknown.bin', false, 0, 0, 'unsupported'), ('../escape.txt', false, 0, 0, 'unsafe_linked_or_encrypted'), ('pic.png', true, 0, 2, 'pixels_not_scanned')) t(name, supported, matches, metadata, note) WHERE s_suppkey % 5 > 0 OR name <> 'b/unknown.bin'")
 def zip_members(spark, sf_dir):
-    found = archives.analysed(archives.members(sample_files(spark).where("path like '%.zip'")))
-    return found.select("name", "supported", F.col("matches").cast("int"), F.col("metadata").cast("int"), "note")
+    found = archives.analysed(archives.members(sample_files(spark, sf_dir, "zip")))
+    return found.select(F.expr(SUPPLIER), "name", "supported", F.col("matches").cast("int"), F.col("metadata").cast("int"), "note")
 
 
-@query("SELECT '/in/bundle.zip' AS path, 4::BIGINT AS findings, true AS supported, 4::BIGINT AS n_members")
+@query("SELECT '/in/' || s_suppkey || '.zip' AS path, 4::BIGINT AS findings, true AS supported, CASE WHEN s_suppkey % 5 = 0 THEN 3 ELSE 4 END::BIGINT AS n_members FROM supplier")
 def zip_report(spark, sf_dir):
-    return archives.archive_report(archives.analysed(archives.members(sample_files(spark).where("path like '%.zip'"))))
+    return archives.archive_report(archives.analysed(archives.members(sample_files(spark, sf_dir, "zip"))))
 
 
-@query("SELECT * FROM (VALUES ('document-001.txt', 'Mail [EMAIL_1] or [EMAIL_2]'), ('image-002.png', NULL), ('clean-copy-report.json', NULL)) t(name, body)")
+@query("SELECT s_suppkey::BIGINT AS s_suppkey, name, body FROM supplier CROSS JOIN (VALUES ('document-001.txt', 'Mail [EMAIL_1] or [EMAIL_2]'), ('image-002.png', NULL), ('clean-copy-report.json', NULL)) t(name, body)")
 def zip_clean(spark, sf_dir):
-    clean = archives.clean_archives(archives.analysed(archives.members(sample_files(spark).where("path like '%.zip'"))))
+    clean = archives.clean_archives(archives.analysed(archives.members(sample_files(spark, sf_dir, "zip"))))
     again = archives.members(clean.select("path", F.col("clean").alias("content")))
-    return again.select("name", F.when(F.col("name").like("%.txt"), F.col("data").cast("string")).alias("body"))
+    return again.select(F.expr(SUPPLIER), "name", F.when(F.col("name").like("%.txt"), F.col("data").cast("string")).alias("body"))
 
 
-@query("SELECT * FROM (VALUES (0, 'IHDR', 13::BIGINT), (1, 'tEXt', 13::BIGINT), (2, 'IDAT', NULL::BIGINT), (3, 'IEND', 0::BIGINT)) t(ordinal, type, size)")
+@query("SELECT s_suppkey::BIGINT AS s_suppkey, ordinal, type, size + CASE type WHEN 'tEXt' THEN length(s_suppkey::VARCHAR) ELSE 0 END AS size FROM supplier CROSS JOIN (VALUES (0, 'IHDR', 13::BIGINT), (1, 'tEXt', 13::BIGINT), (2, 'IDAT', NULL::BIGINT), (3, 'IEND', 0::BIGINT)) t(ordinal, type, size)")
 def png_chunks(spark, sf_dir):
-    rows = images.png_rows(sample_files(spark).where("path like '%.png'"))
-    return rows.select("ordinal", "type", F.when(F.col("type") != "IDAT", F.col("size")).alias("size"))
+    rows = images.png_rows(sample_files(spark, sf_dir, "png"))
+    return rows.select(F.expr(SUPPLIER), "ordinal", "type", F.when(F.col("type") != "IDAT", F.col("size")).alias("size"))
 
 
-@query("SELECT * FROM (VALUES ('tEXt image chunk', 13::BIGINT), ('Data after PNG end marker', 4::BIGINT)) t(label, bytes)")
+@query("SELECT s_suppkey::BIGINT AS s_suppkey, label, bytes + CASE WHEN label = 'tEXt image chunk' THEN length(s_suppkey::VARCHAR) ELSE 0 END AS bytes FROM supplier CROSS JOIN (VALUES ('tEXt image chunk', 13::BIGINT), ('Data after PNG end marker', 4::BIGINT)) t(label, bytes)")
 def png_metadata(spark, sf_dir):
-    out = sample_files(spark).where("path like '%.png'").select(images.png_udf("content").alias("r"))
-    return out.select(F.explode("r.metadata").alias("m")).select("m.label", "m.bytes")
+    out = sample_files(spark, sf_dir, "png").select("path", images.png_udf("content").alias("r"))
+    return out.select(F.expr(SUPPLIER), F.explode("r.metadata").alias("m")).select("s_suppkey", "m.label", "m.bytes")
 
 
-@query("SELECT * FROM (VALUES ('EXIF or XMP metadata', 8::BIGINT), ('JPEG comment', 5::BIGINT)) t(label, bytes)")
+@query("SELECT s_suppkey::BIGINT AS s_suppkey, label, bytes + CASE WHEN label = 'JPEG comment' THEN length(s_suppkey::VARCHAR) ELSE 0 END AS bytes FROM supplier CROSS JOIN (VALUES ('EXIF or XMP metadata', 8::BIGINT), ('JPEG comment', 2::BIGINT)) t(label, bytes)")
 def jpeg_segments(spark, sf_dir):
-    return images.jpeg_rows(sample_files(spark).where("path like '%.jpg'")).select("label", "bytes")
+    return images.jpeg_rows(sample_files(spark, sf_dir, "jpg")).select(F.expr(SUPPLIER), "label", "bytes")
 
 
-@query("SELECT * FROM (VALUES ('/in/letter.docx', 'Name: Ann Example' || chr(10) || 'a@example.org' || chr(10) || 'b', 'Office XML'), ('/in/sheet.xlsx', 'x@example.org' || chr(9) || '42' || chr(10) || '=cmd', 'Office XML'), ('/in/note.txt', 'caf' || chr(233) || ' 4111 1111 1111 1111', 'Windows-1252')) t(path, text, method)")
+@query("""SELECT '/in/' || s_suppkey || kind AS path, CASE kind WHEN '.docx' THEN 'Name: ' || s_name || chr(10) || 'a' || s_suppkey || '@example.org' || chr(10) || 'b'
+    WHEN '.xlsx' THEN 'x' || s_suppkey || '@example.org' || chr(9) || s_suppkey || chr(10) || '=cmd' ELSE 'caf' || chr(233) || ' 4111 1111 1111 111' || (1 + s_suppkey % 2) || ' of ' || s_suppkey END AS text, method
+  FROM supplier CROSS JOIN (VALUES ('.docx', 'Office XML'), ('.xlsx', 'Office XML'), ('.txt', 'Windows-1252')) t(kind, method)""")
 def extract_text(spark, sf_dir):
-    out = files.extracted(sample_files(spark))
+    out = files.extracted(sample_files(spark, sf_dir, "docx", "xlsx", "txt", "png"))
     return out.where("text <> ''").select("path", "text", "method")
 
 
-@query("SELECT * FROM (VALUES (0, -1, -1, 'Name: [NAME_1]', 1), (1, 0, 0, '[EMAIL_1]', 1), (1, 0, 1, 'b', 0)) t(block, \"row\", col, text, removed)")
+@query("SELECT s_suppkey::BIGINT AS s_suppkey, block, \"row\", col, text, removed FROM supplier CROSS JOIN (VALUES (0, -1, -1, 'Name: [NAME_1]', 1), (1, 0, 0, '[EMAIL_1]', 1), (1, 0, 1, 'b', 0)) t(block, \"row\", col, text, removed)")
 def docx_clean(spark, sf_dir):
-    found = office.docx_fragments(sample_files(spark).where("path like '%.docx'"))
+    found = office.docx_fragments(sample_files(spark, sf_dir, "docx"))
     clean = office.clean_fragments(found)
     again = office.docx_fragments(office.rebuilt_docx(clean).select("path", F.col("clean").alias("content")))
-    return again.join(clean.select("block", "row", "col", "removed"), ["block", "row", "col"]).drop("path")
+    return again.join(clean.select("path", "block", "row", "col", "removed"), ["path", "block", "row", "col"]).select(F.expr(SUPPLIER), "block", "row", "col", "text", "removed")
 
 
-@query("SELECT * FROM (VALUES ('Sheet 1', 1, 1, '[EMAIL_1]', false), ('Sheet 1', 1, 2, '42', true), ('Sheet 1', 2, 1, '''=cmd', false)) t(sheet_name, \"row\", col, value, is_number)")
+@query("SELECT s_suppkey::BIGINT AS s_suppkey, sheet_name, \"row\", col, CASE WHEN is_number THEN s_suppkey::VARCHAR ELSE value END AS value, is_number FROM supplier CROSS JOIN (VALUES ('Sheet 1', 1, 1, '[EMAIL_1]', false), ('Sheet 1', 1, 2, '', true), ('Sheet 1', 2, 1, chr(39) || '=cmd', false)) t(sheet_name, \"row\", col, value, is_number)")
 def xlsx_clean(spark, sf_dir):
-    cells = office.clean_cells(office.xlsx_cells(sample_files(spark).where("path like '%.xlsx'")))
+    cells = office.clean_cells(office.xlsx_cells(sample_files(spark, sf_dir, "xlsx")))
     again = office.xlsx_cells(office.rebuilt_xlsx(cells).select("path", F.col("clean").alias("content")))
-    names = cells.select("sheet_name", "row", "col")
-    return again.join(names, ["row", "col"]).select("sheet_name", "row", "col", "value", (F.col("data_type") == "n").alias("is_number"))
+    names = cells.select("path", "sheet_name", "row", "col")
+    return again.join(names, ["path", "row", "col"]).select(F.expr(SUPPLIER), "sheet_name", "row", "col", "value", (F.col("data_type") == "n").alias("is_number"))
 
 
 @query(f"WITH s AS ({PATHS}), n AS (SELECT p_partkey, p_partkey // 50 AS grp, p_partkey % 3 <> 1 AS ok, p_partkey % 3 = 2 AS pic FROM s) SELECT p_partkey, CASE WHEN pic THEN 'image-' ELSE 'document-' END || lpad(row_number() OVER (PARTITION BY grp ORDER BY p_partkey)::VARCHAR, 3, '0') || CASE WHEN pic THEN '.png' ELSE '.txt' END AS copy FROM n WHERE ok")
