@@ -16,7 +16,7 @@ from . import oracles as O
 from .functions import spans as S
 from .functions import text as T
 from .operators import detect as D
-from .operators import fuzzy, layout, search, store
+from .operators import fuzzy, gates, layout, search, store
 from .sources import archives, files, images, office
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -514,6 +514,48 @@ def style_closure(spark, sf_dir):
     return layout.closure(n, spark.createDataFrame([(101,)], "child int"))
 
 
+# --- gates -------------------------------------------------------------------------------
+
+
+@query(O.with_words("SELECT doc_id, page::BIGINT AS page, string_agg(text, ' ' ORDER BY CASE WHEN page % 3 = 0 THEN -word_no ELSE word_no END) AS flow FROM o GROUP BY doc_id, page HAVING page % 3 = 0 AND string_agg(text, ' ' ORDER BY word_no) <> string_agg(text, ' ' ORDER BY -word_no)"))
+def second_views(spark, sf_dir):
+    w = words(spark, sf_dir)
+    order = F.when(F.col("page") % 3 == 0, -F.col("word_no")).otherwise(F.col("word_no"))
+    chars = w.select("doc_id", "page", order.alias("ordinal"), F.concat("text", F.lit(" ")).alias("text"))
+    return gates.second_views(w, chars).select("doc_id", F.col("page").cast("long"), F.rtrim("flow").alias("flow"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, max(l_quantity)::BIGINT % 5 AS n FROM lineitem GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM p),
+w AS (SELECT doc_id, page, i, n, least(least(n, 3), 6) AS used, CASE WHEN n < 4 THEN n END AS hit FROM q WHERE i = 1
+  UNION ALL SELECT q.doc_id, q.page, q.i, q.n, least(w.used + least(q.n, 3), 6), CASE WHEN q.n < 4 AND (q.n = 0 OR w.used + q.n <= 6) THEN q.n END FROM w JOIN q ON q.doc_id = w.doc_id AND q.i = w.i + 1)
+SELECT doc_id::BIGINT AS doc_id, page::BIGINT AS page, (hit * 90)::BIGINT AS angle, hit IS NULL AS unresolved FROM w""")
+def turned_pages(spark, sf_dir):
+    n = F.col("q").cast("long") % 5
+    pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    hits = pages.select(F.col("l_orderkey").cast("long").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page"), F.when(n < 4, F.array((n * 90).cast("int"))).otherwise(F.array().cast("array<int>")).alias("angles"))
+    return gates.turned_pages(hits).select("doc_id", "page", F.col("angle").cast("long"), "unresolved")
+
+
+@query("SELECT o_orderkey::BIGINT AS doc_id, (o_custkey % 3)::BIGINT AS removed_matches, (o_custkey % 2)::BIGINT AS selected_regions, (o_custkey % 3 + o_custkey % 2)::BIGINT AS painted_regions FROM orders WHERE o_custkey % 3 > 0 OR o_custkey % 2 > 0")
+def painted_totals(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), "o_custkey")
+    times = lambda n: o.select("doc_id", F.explode(F.array_repeat(F.lit(0), (F.col("o_custkey") % n).cast("int"))).alias("i"))
+    return gates.painted(times(3), times(3), times(2))
+
+
+@query("SELECT DISTINCT o_custkey::BIGINT AS doc_id, 'regions_required' AS error FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0)")
+def without_masks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("doc_id"), "o_orderkey")
+    return gates.without_masks(o, o.where("o_orderkey % 4 = 0"))
+
+
+@query("SELECT p_partkey::BIGINT AS p_partkey, p_partkey % 4 < 2 AS inside FROM part")
+def contained_paths(spark, sf_dir):
+    tail = F.element_at(F.array(F.lit("/out/a"), F.lit("/out//b/../c"), F.lit("/out/../x"), F.lit("/outer/a")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long"), gates.within(tail, F.lit("/out")).alias("inside"))
+
+
 # --- search -----------------------------------------------------------------------------
 
 SEARCHED = "SELECT item_id AS id, coalesce(text, '') AS t FROM benchmark"
