@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a folder of its own only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/veilspark-shared"
     return root.rstrip("/")
 

@@ -15,7 +15,11 @@ labelled bad documents, less COST times the share of good ones; a rule for which
 that is never positive rejects nothing.
 
 Null and empty texts have no words and fail the base limits. A null stratum is
-a stratum of its own. Without labels no rule rejects anything.
+a stratum of its own. Without labels no rule rejects anything; an empty table has
+no verdicts. Texts of any length are measured whole. Rows that repeat are
+measured and judged each; each of a labelled id counts in the tests. Of cutoffs
+of equal gain the highest is used; a measure equal to its cutoff passes. Only the
+named columns are read, whatever else the table has.
 """
 
 from __future__ import annotations

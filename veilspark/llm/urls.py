@@ -17,7 +17,12 @@ a larger one is joined by block number like any table. No candidate or hit is
 dropped, so results are the same either way.
 
 Null URLs and URLs without "://" have an empty host and path. They fit no
-entry, as entries have a host, and are allowed. Repeated and extra columns stay.
+entry, as entries have a host, and are allowed; an empty table gives an empty
+table, an empty list allows all. Rows that repeat each get the same verdict.
+Fitting entries of one length differ in their hosts, and the longer host decides;
+of equal entries the least verdict. URLs of any length are judged whole: one has
+as many candidates as parent domains times listed path lengths. Other columns
+pass as they are; own columns named like results are replaced.
 """
 
 from __future__ import annotations
