@@ -80,6 +80,43 @@ def test_hidden_word_content_is_left_out(spark):
     assert [r.text for r in office.docx_fragments(one(spark, raw.getvalue())).collect()] == ["seen"]
 
 
+def deck(*slides, size=None):
+    main = f'<p><sldSz cx="{size[0]}" cy="{size[1]}"/></p>' if size else "<p/>"
+    return zipped(**{"ppt__presentation.xml": main}, **{f"ppt__slides__slide{n}.xml": x for n, x in enumerate(slides, 1)})
+
+
+def test_decks_are_rebuilt(spark):
+    box = '<s xmlns:a="urn:a"{}><sp><spPr><a:xfrm><a:off x="11" y="12"/><a:ext cx="200000" cy="3"/></a:xfrm></spPr><txBody><a:p><a:t>{}</a:t></a:p><a:p/></txBody></sp></s>'
+    table = '<s xmlns:a="urn:a"><graphicFrame><xfrm><a:off x="5" y="6"/></xfrm><a:tbl><a:tr><a:tc><a:p><a:t>x</a:t></a:p></a:tc><a:tc><a:p><a:t>y@example.org</a:t></a:p></a:tc></a:tr></a:tbl></graphicFrame></s>'
+    raw = deck(box.format("", "a &amp; b@example.org"), box.format(' show="0"', "hidden"), "<s/>", table, size=(4000000, 3000000))
+    found = office.clean_fragments(office.pptx_fragments(one(spark, raw)))
+    clean = office.rebuilt_pptx(found).first()
+    again = office.pptx_fragments(one(spark, bytes(clean.clean))).orderBy("slide", "shape").collect()
+    assert [tuple(r)[1:] for r in again] == [
+        (1, -1, 0, 0, 4000000, 3000000, ""),
+        (1, 0, 11, 12, 200000, 91440, "a & [EMAIL_1]\n"),
+        (2, -1, 0, 0, 4000000, 3000000, ""),
+        (3, -1, 0, 0, 4000000, 3000000, ""),
+        (3, 0, 5, 6, 91440, 91440, "x | [EMAIL_1]"),
+    ]
+    assert clean.removed == 2 and b"hidden" not in clean.clean
+    with zipfile.ZipFile(io.BytesIO(clean.clean)) as z:
+        named = [n for n in z.namelist() if n.endswith(".rels")]
+        for n in named:  # every relationship leads to a part of the file
+            at = n.split("_rels/")[0]
+            for x in archives.parsed_xml(z.read(n)):
+                up, target = x.get("Target").count("../"), x.get("Target").replace("../", "")
+                folder = "/".join(at.rstrip("/").split("/")[: -up or None])
+                assert (folder + "/" + target if folder else target) in z.namelist()
+    assert len(named) == 7
+
+
+def test_decks_that_are_refused(spark):
+    for raw, code in ((zipped(a="b"), "slide_limit"), (deck(*["<s/>"] * 101), "slide_limit"), (deck('<s show="0"/>'), "no_visible_slides")):
+        with pytest.raises(Exception, match=code):
+            office.pptx_fragments(one(spark, raw)).collect()
+
+
 def test_office_metadata():
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:

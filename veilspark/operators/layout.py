@@ -182,10 +182,15 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     there are edges, which ends cycles. Null names inherit nothing. Rounds are
     checkpoints, which every executor can read again.
     """
-    sc = edges.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir("file:///tmp/veilspark-checkpoints")  # where none is named: tests
+    spark = edges.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or "file:///tmp/veilspark-checkpoints")
     hidden = seeds.select("child").where("child is not null").distinct().checkpoint()
+    if hidden.isEmpty():  # nothing to inherit
+        return hidden
     up = edges.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct().checkpoint()
     steps, most = 1, up.count()
     while steps <= most and not up.isEmpty():

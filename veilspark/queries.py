@@ -708,10 +708,22 @@ def files_of(key: int, name: str) -> dict[str, bytes]:
         "jpg": b"\xff\xd8\xff\xe1\x00\x08Exif\0\0\xff\xfe" + struct.pack(">H", 2 + len(note)) + note + b"\xff\xda\x00\x02",
         "docx": office.docx_file([(0, -1, -1, f"Name: {name}"), (1, 0, 0, f"a{key}@example.org"), (1, 0, 1, "b")]),
         "xlsx": office.xlsx_file(cells),
+        "pptx": office.pptx_file([(1, -1, 0, 0, 7000000, 5000000, ""), (1, 0, key, 20, 300000, 5, f"Name: {name}\nto a{key}@example.org"), (2, -1, 0, 0, 0, 0, ""), *[(3, 0, 1, 2, 3, 4, "plain")] * (key % 2)]),
+        "docm": marked(key),
         "txt": f"caf\u00e9 4111 1111 1111 111{1 + key % 2} of {key}".encode("cp1252"),
     }
 
 
+def marked(key: int) -> bytes:
+    """A document that holds more than its text: properties, a comment, an embedded object, links, changes, as many as its key says."""
+    parts = {"word/document.xml": "<d>" + "<ins/>" * (key % 3) + "<del/>" * (key % 2) + "</d>", "docProps/core.xml": "<c/>"}
+    if key % 4 == 0:
+        parts |= {"word/comments.xml": "<c/>", "word/vbaProject.bin": ""}
+    if key % 5 == 0:
+        parts["word/_rels/document.xml.rels"] = "<r>" + '<x TargetMode="External"/>' * (key % 3 + 1) + "<x/></r>"
+    return office.package(parts)
+
+
 def sample_files(spark, sf_dir, *kinds: str) -> DataFrame:
     """(path, content): files of each supplier, made from its row."""
 
@@ -777,6 +789,27 @@ def docx_clean(spark, sf_dir):
     return again.join(clean.select("path", "block", "row", "col", "removed"), ["path", "block", "row", "col"]).select(F.expr(SUPPLIER), "block", "row", "col", "text", "removed")
 
 
+@query("""SELECT s_suppkey::BIGINT AS s_suppkey, slide, shape, "left" + CASE WHEN slide = 1 AND shape = 0 THEN s_suppkey ELSE 0 END AS "left", top, width, height, text, removed FROM supplier
+  CROSS JOIN (VALUES (1, -1, 0::BIGINT, 0::BIGINT, 7000000::BIGINT, 5000000::BIGINT, '', 0), (1, 0, 0, 20, 300000, 91440, 'Name: [NAME_1]' || chr(10) || 'to [EMAIL_1]', 2), (2, -1, 0, 0, 7000000, 5000000, '', 0), (3, -1, 0, 0, 7000000, 5000000, '', 0), (3, 0, 1, 2, 91440, 91440, 'plain', 0)) t(slide, shape, "left", top, width, height, text, removed)
+  WHERE slide < 3 OR s_suppkey % 2 = 1""")
+def pptx_clean(spark, sf_dir):
+    clean = office.clean_fragments(office.pptx_fragments(sample_files(spark, sf_dir, "pptx")))
+    again = office.pptx_fragments(office.rebuilt_pptx(clean).select("path", F.col("clean").alias("content")))
+    removed = clean.select("path", "slide", "shape", "removed")
+    return again.join(removed, ["path", "slide", "shape"]).select(F.expr(SUPPLIER), "slide", "shape", "left", "top", "width", "height", "text", "removed")
+
+
+@query("""WITH s AS (SELECT s_suppkey::BIGINT AS s_suppkey FROM supplier), m AS (
+  SELECT s_suppkey, 'metadata' AS category, 'Document properties: docProps/core.xml' AS label FROM s
+  UNION ALL SELECT s_suppkey, 'comments', 'Comment part: word/comments.xml' FROM s WHERE s_suppkey % 4 = 0
+  UNION ALL SELECT s_suppkey, 'embedded', 'Embedded object or macro part' FROM s WHERE s_suppkey % 4 = 0
+  UNION ALL SELECT s_suppkey, 'external_links', (s_suppkey % 3 + 1) || ' external relationship(s) in word/_rels/document.xml.rels' FROM s WHERE s_suppkey % 5 = 0
+  UNION ALL SELECT s_suppkey, 'revision', (s_suppkey % 3 + s_suppkey % 2) || ' tracked change element(s)' FROM s WHERE s_suppkey % 3 + s_suppkey % 2 > 0) SELECT * FROM m""")
+def office_marks(spark, sf_dir):
+    out = sample_files(spark, sf_dir, "docm").select("path", F.explode(office.metadata_udf(F.col("content"))).alias("m"))
+    return out.select(F.expr(SUPPLIER), "m.category", "m.label")
+
+
 @query("SELECT s_suppkey::BIGINT AS s_suppkey, sheet_name, \"row\", col, CASE WHEN is_number THEN s_suppkey::VARCHAR ELSE value END AS value, is_number FROM supplier CROSS JOIN (VALUES ('Sheet 1', 1, 1, '[EMAIL_1]', false), ('Sheet 1', 1, 2, '', true), ('Sheet 1', 2, 1, chr(39) || '=cmd', false)) t(sheet_name, \"row\", col, value, is_number)")
 def xlsx_clean(spark, sf_dir):
     cells = office.clean_cells(office.xlsx_cells(sample_files(spark, sf_dir, "xlsx")))
