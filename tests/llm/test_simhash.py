@@ -169,3 +169,48 @@ def test_chunks_lose_no_pair(monkeypatch, spark):
     rows = [(i, " ".join(base + [f"own{i}"])) for i in range(60)] + [(100 + i, rng.choice([None, "", " "])) for i in range(9)]
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, radius=18, similarity=0.8, exact=True).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: 0 if i < 60 else 100 for i, _ in rows}
+
+
+def test_exact_links_of_few_shingles(spark):
+    """Four shingles of five are shared, a similarity of just 0.8, and fingerprints of so few shingles lie far apart."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:-1]))]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, radius=18, similarity=0.8, exact=True).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize("sampled", [10, 20_000])
+def test_exact_links_against_all_pairs(monkeypatch, spark, sampled):
+    """A passage that most texts have, families of near copies and texts that share it alone; the order of shingles loses no link."""
+    monkeypatch.setattr(simhash, "SAMPLED", sampled)
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(300)]
+    passage = [rng.choice(vocab) for _ in range(40)]
+    texts = ["", None, " ", "w1 w2", "w1 W2 "]
+    for _ in range(25):
+        base = [rng.choice(vocab) for _ in range(rng.choice([1, 6, 30, 80]))] + passage * rng.randrange(2)
+        for _ in range(6):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = rng.choice(vocab)
+            texts.append(" ".join(own[rng.randrange(3) :]))
+    sets = [simhash.shingle_set((t or "").encode(), 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.near_duplicates(df, shingle=5, radius=18, similarity=0.8, exact=True).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(texts))}
+    assert 20 < len({find(i) for i in range(len(texts))}) < len(texts) - 20

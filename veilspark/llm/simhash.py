@@ -13,16 +13,28 @@ components join the forests.
 With a similarity asked for, a pair within the radius is a link only if the
 texts' shingle sets agree as well: each text carries a one-permutation MinHash
 sketch of BINS bins, and the share of equal bins must lie within two standard
-errors of that similarity or above: an estimate. With `exact`, fingerprints are
-taken over distinct shingles, the bar is four standard errors, and such pairs are
-only candidates. Texts that candidates connect are then compared in full: a link
-is a pair whose shingle sets have that Jaccard similarity (of 64-bit shingle
-hashes). Large connected sets are compared in pairs of chunks, a forest a task,
-so a group costs no rows in its square.
+errors of that similarity or above: an estimate.
+
+With `exact`, a link is a pair whose sets of shingles have that Jaccard
+similarity (of 64-bit shingle hashes); the radius plays no part, fingerprints are
+taken over distinct shingles and are only returned. No such pair is lost:
+
+1. Of the sets, in one order of all shingles, two with similarity s share one of
+   the first n - ceil(s n) + 1 of their n shingles (Chaudhuri et al. 2006), so a
+   text is entered under those. Any order is complete; shingles that a sample of
+   texts has several times go last, so that frequent passages make few pairs.
+2. Texts of a shingle are first compared with the least of them alone, then, if
+   still in different components, with each other. A pair passes if its sizes, the
+   shingle's places and signatures of the sets allow the similarity: all bounds.
+3. Texts that such candidates connect are compared in full. Large connected sets
+   are compared in pairs of chunks, a forest a task, so a group costs no rows in
+   its square.
 
 Cost: copies of a text share one fingerprint, so they cost one row. Distinct
 fingerprints are compared in pairs of tiles, which is quadratic work divided by
-what the population counts skip; the tile size bounds a task's memory.
+what the population counts skip; the tile size bounds a task's memory. With
+`exact` the work grows with the number of texts and of pairs that share a rare
+shingle.
 
 Null and empty texts have fingerprint zero and link like any other; an empty
 table has no components. A null id never becomes a component's name; a component
@@ -35,9 +47,11 @@ Other columns do not matter, whatever they are called: a result has its own, or
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stash, carried, components, release, unpacked
@@ -110,8 +124,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(n > 0, ((a == b) & some).sum(1) / np.maximum(n, 1), 1.0)
 
 
-def least_share(similarity: float, errors: int = 2) -> float:
-    return similarity - errors * (similarity * (1 - similarity) / BINS) ** 0.5
+def least_share(similarity: float) -> float:
+    return similarity - 2 * (similarity * (1 - similarity) / BINS) ** 0.5
 
 
 class Forest:
@@ -181,7 +195,7 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int, xs: np.ndarray
     return [(int(every[p]), int(every[q])) for p, q in forest.links]
 
 
-def links(fps: DataFrame, radius: int, stash: Stash, tile: int | None = None, similarity: float | None = None, errors: int = 2) -> DataFrame:
+def links(fps: DataFrame, radius: int, stash: Stash, tile: int | None = None, similarity: float | None = None) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints (fp, and sketch if a similarity is given), a forest a tile pair."""
     spark = fps.sparkSession
     # 65 rows at most: the number of fingerprints of each population count.
@@ -216,7 +230,7 @@ def links(fps: DataFrame, radius: int, stash: Stash, tile: int | None = None, si
     dealt = dealt.select(*own, "t", F.explode(F.flatten(F.transform("partners", lambda x: F.sequence(x["first"], x["first"] + x["parts"] - 1)))).alias("o"))
     dealt = dealt.select(*own, F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "t")
 
-    least = least_share(similarity, errors) if similarity else 0.0
+    least = least_share(similarity) if similarity else 0.0
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         v, t, x, y = pdf["fp"].to_numpy().view(np.uint64), pdf["t"].to_numpy(), pdf["x"].iat[0], pdf["y"].iat[0]
@@ -233,6 +247,146 @@ def links(fps: DataFrame, radius: int, stash: Stash, tile: int | None = None, si
     return stash.keep(dealt.groupBy("x", "y").applyInPandas(compare, "a long, b long"))
 
 
+def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
+    """Different shingle hashes of a text in UTF-8, in order. A text without shingles has the set of zero alone, so such texts are alike."""
+    words = (raw or b"").lower().split()
+    return np.unique(shingles(words, size)) if words else np.zeros(1, "<u8")
+
+
+#: Texts, about, whose shingles are counted to put frequent ones last, and how many of those are remembered. Any order is exact.
+SAMPLED, FREQUENT = 20_000, 250_000
+#: Bits of a set's signature, in integers of 64.
+SIGNED = 16
+
+
+def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, how often) of shingles that several of a sample of different texts have; docs: (id, th, text)."""
+    every = max(1, docs.count() // SAMPLED)
+    some = docs.where(F.pmod("th", F.lit(every)) == 0).select("th", F.col("text").cast("binary").alias("raw")).dropDuplicates(["th"])
+
+    def cut(frames):
+        for pdf in frames:
+            found = [shingle_set(x, size) for x in pdf["raw"]]
+            yield pd.DataFrame({"h": np.concatenate([*found, np.zeros(0, "<u8")]).view(np.int64)})
+            release()
+
+    seen = some.select("raw").mapInPandas(cut, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    top = seen.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
+    order = np.argsort(top["h"].to_numpy().view(np.uint64))
+    return top["h"].to_numpy().view(np.uint64)[order], top["c"].to_numpy()[order]
+
+
+def first_shingles(own: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The shingles of a sorted set of which one is shared with every set of that similarity: the first by frequency, then hash."""
+    hashes, times = known
+    rank = np.zeros(len(own), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        rank = np.where(hashes[at] == own, times[at], 0)
+    most = len(own) - math.ceil(similarity * len(own) - 1e-6) + 1
+    return own[np.argsort(rank, kind="stable")[:most]]
+
+
+def signature(own: np.ndarray) -> np.ndarray:
+    """SIGNED integers whose bits tell whether an odd number of the set's shingles fall on them: sets that differ in d shingles differ in d bits at most."""
+    odd = np.bincount((own >> np.uint64(32)).astype(np.int64) % (64 * SIGNED), minlength=64 * SIGNED) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def outlines(docs: DataFrame, size: int, similarity: float, named: bool) -> DataFrame:
+    """(id, th, n, first, s0 ..., and fp if named) of (id, th, text): the number of different shingles, the first ones in order, and the signature."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
+    bits = [f"s{k}" for k in range(SIGNED)]
+
+    @F.pandas_udf(f"n int, first array<long>, {', '.join(f'{c} long' for c in bits)}")
+    def outline(raw: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(x, size) for x in raw]
+        signed = np.array([signature(x) for x in found], np.int64).reshape(-1, SIGNED)
+        out = {"n": np.array([len(x) for x in found], np.int32), "first": [first_shingles(x, held.value, similarity).view(np.int64) for x in found]}
+        del found
+        release()
+        return pd.DataFrame(out | {c: signed[:, k] for k, c in enumerate(bits)})
+
+    raw = F.col("text").cast("binary")
+    fp = [fingerprints(size, once=True)(raw)["fp"].alias("fp")] if named else []
+    return docs.select("id", "th", *fp, outline(raw).alias("o")).select("id", "th", *["fp"] * named, "o.*")
+
+
+def sets_of(rows: DataFrame, size: int, *keep: str) -> DataFrame:
+    """(keep..., set) of rows with a text: its different shingle hashes, in order, as binary."""
+
+    @F.pandas_udf("binary")
+    def sets(raw: pd.Series) -> pd.Series:
+        out = pd.Series([shingle_set(x, size).astype("<u8").tobytes() for x in raw])
+        release()
+        return out
+
+    return rows.select(*keep, sets(F.col("text").cast("binary")).alias("set"))
+
+
+def linked(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, stash: Stash) -> DataFrame:
+    """Those pairs (a, b) of text hashes whose shingle sets have that Jaccard similarity; docs: (id, th, text)."""
+
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: bytes, y: bytes) -> float:
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            return shared / (len(x) + len(y) - shared)
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    sets = stash.keep(sets_of(docs.join(asked, "th", "left_semi").dropDuplicates(["th"]), size, "th"))
+    both = pairs.join(sets.select(F.col("th").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("set").alias("y")), "b")
+    out = stash.keep(both.where(jaccard("x", "y") >= similarity).select("a", "b"))
+    stash.drop(sets)
+    return out
+
+
+def candidates(docs: DataFrame, every: DataFrame, size: int, similarity: float, stash: Stash) -> DataFrame:
+    """(node, root): components, by text hash, of links that connect all texts with that similarity; docs: (id, th, text), every: their `outlines`."""
+    bits = [f"s{k}" for k in range(SIGNED)]
+    # Shingles that one of two sets alone has, at most, as a share of both sizes.
+    apart = F.lit((1 - similarity) / (1 + similarity))
+    same = Window.partitionBy("key")
+    each = every.select("th", "n", F.posexplode("first").alias("at", "key"))
+    shared = each.select("*", F.min("th").over(same).alias("low"), F.max("th").over(same).alias("high")).where("low <> high")
+    shared = stash.keep(shared.select("key", "th", "n", "at").distinct())
+    # Of the texts that share shingles alone.
+    signed = every.join(shared.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.min("n").alias("n"), *[F.min(c).alias(c) for c in bits])
+    signed = stash.keep(signed)
+
+    def allowed(n: Column, m: Column, at: Column, to: Column) -> Column:
+        # What stands before the first shared shingle is not shared.
+        return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (at + to <= (n + m) * apart + 1e-6)
+
+    def passed(pairs: DataFrame) -> DataFrame:
+        one = signed.select(F.col("th").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"{c}_a") for c in bits])
+        two = signed.select(F.col("th").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"{c}_b") for c in bits])
+        differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+        both = pairs.distinct().join(one, "a").join(two, "b")
+        both = both.where(differ <= (F.col("na") + F.col("nb")) * apart + 1e-6)
+        both = stash.keep(both.select("a", "b", (F.col("na") + F.col("nb") > 3 * 64 * SIGNED).alias("long")))
+        long = linked(both.where("long").select("a", "b"), docs, size, similarity, stash)
+        return both.where("not long").select("a", "b").unionByName(long)
+
+    lead = shared.groupBy("key").agg(F.min(F.struct("th", "n", "at")).alias("l"))
+    first = shared.join(lead, "key").where((F.col("th") != F.col("l.th")) & allowed(F.col("n"), F.col("l.n"), F.col("at"), F.col("l.at")))
+    found = passed(first.select(F.col("l.th").alias("a"), F.col("th").alias("b")))
+    roots = components(found, stash)
+    rest = shared.join(roots.select(F.col("node").alias("th"), "root"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    several = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).where("low <> high and c > 2")
+    rest = stash.keep(rest.join(several.select("key"), "key", "left_semi"))
+    other = rest.select("key", F.col("th").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("root_b"))
+    more = rest.join(other, "key").where((F.col("root") < F.col("root_b")) & allowed(F.col("n"), F.col("m"), F.col("at"), F.col("to")))
+    more = passed(more.select(F.least("th", "b").alias("a"), F.greatest("th", "b").alias("b")))
+    stash.drop(shared)
+    if not more.limit(1).count():
+        return roots
+    return components(found.unionByName(more), stash)
+
+
 def same_sets(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
     """Spanning forest, as pairs of places, of sorted sets whose Jaccard similarity is at least the one given; side None: all pairs, else pairs of different sides."""
     n = np.array([len(x) for x in sets])
@@ -264,17 +418,9 @@ def verified(docs: DataFrame, members: DataFrame, shingle: int, similarity: floa
     docs: (id, th, text); members: (comp, size, id, th), one row a text of a component of several texts.
     """
 
-    @F.pandas_udf("binary")
-    def sets(raw: pd.Series) -> pd.Series:
-        # A text without shingles has the set of zero alone, so such texts are alike.
-        found = (np.unique(shingles((x or b"").lower().split(), shingle)) if (x or b"").strip() else np.zeros(1, "<u8") for x in raw)
-        out = pd.Series([x.astype("<u8").tobytes() for x in found])
-        release()
-        return out
-
     asked = members.select("comp", "size", F.col("id").alias("i"), F.col("th").alias("h"))
     rows = docs.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).dropDuplicates(["th"])
-    rows = stash.keep(rows.select("comp", "size", "th", sets(F.col("text").cast("binary")).alias("set")))
+    rows = stash.keep(sets_of(rows, shingle, "comp", "size", "th"))
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
     dealt = rows.select("comp", "th", "set", F.pmod(F.xxhash64(F.lit(1), "th"), parts).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
     dealt = dealt.select("comp", "th", "set", "c", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"))
@@ -288,29 +434,30 @@ def verified(docs: DataFrame, members: DataFrame, shingle: int, similarity: floa
     return stash.keep(dealt.groupBy("comp", "x", "y").applyInPandas(compare, "a long, b long"))
 
 
-def alike_groups(docs: DataFrame, every: DataFrame, shingle: int, radius: int, tile: int | None, similarity: float, stash: Stash) -> DataFrame:
-    """(id, th, fp, component_id) of each document, whose components are those of verified links."""
-    reps = stash.keep(every.groupBy("fp", "th").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch")))
-    roots = components(links(reps.select("fp", "sketch").distinct(), radius, stash, tile, similarity, errors=4), stash)
-    members = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "th", F.coalesce("root", "fp").alias("comp"))
-    sizes = members.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
+def alike_groups(docs: DataFrame, shingle: int, similarity: float, named: bool, stash: Stash) -> DataFrame:
+    """(id, th, component_id, and fp if named) of each document (id, th, text), whose components are those of verified links."""
+    every = stash.keep(outlines(docs, shingle, similarity, named))
+    reps = stash.keep(every.groupBy("th").agg(F.min("id").alias("id")))
+    roots = candidates(docs, every, shingle, similarity, stash)
+    members = reps.join(roots.withColumnRenamed("node", "th"), "th").select("id", "th", F.col("root").alias("comp"))
+    sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
     members = stash.keep(members.join(sizes, "comp"))
     roots = components(verified(docs, members, shingle, similarity, stash), stash)
-    named = reps.select("id", "th").join(roots.withColumnRenamed("node", "th"), "th", "left").select("id", "th", F.coalesce("root", "th").alias("root"))
-    named = stash.keep(named)
-    names = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return every.drop("sketch").join(named.join(names, "root").select("th", "component_id"), "th")
+    of = reps.join(roots.withColumnRenamed("node", "th"), "th", "left").select("id", "th", F.coalesce("root", "th").alias("root"))
+    of = stash.keep(of)
+    names = of.groupBy("root").agg(F.min("id").alias("component_id"))
+    return every.select("id", "th", *["fp"] * named).join(of.join(names, "root").select("th", "component_id"), "th")
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, tile: int | None, similarity: float | None, exact: bool) -> DataFrame:
-    """(id, th, fp, component_id) of each document; th is a hash of the whole text, which tells rows of equal ids apart."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, tile: int | None, similarity: float | None, exact: bool, named: bool = True) -> DataFrame:
+    """(id, th, fp, component_id) of each document, with `exact` fp only if named; th is a hash of the whole text, which tells rows of equal ids apart."""
     stash = Stash(docs.sparkSession, "simhash")
-    described_by = fingerprints(shingle, BINS if similarity else 0, exact)(F.col(text_col).cast("binary"))
-    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), described_by.alias("d"))
-    every = stash.keep(every.select("id", "th", "d.*"))
     if exact:
         texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-        return alike_groups(texts, every, shingle, radius, tile, similarity, stash)
+        return alike_groups(texts, shingle, similarity, named, stash)
+    described_by = fingerprints(shingle, BINS if similarity else 0)(F.col(text_col).cast("binary"))
+    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), described_by.alias("d"))
+    every = stash.keep(every.select("id", "th", "d.*"))
     least = every.groupBy("fp").agg(F.min("id").alias("least"), F.min("sketch").alias("sketch"))
     roots = components(links(least.select("fp", "sketch"), radius, stash, tile, similarity), stash)
     named = stash.keep(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
@@ -326,7 +473,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int | None = None, similarity: float | None = None, exact: bool = False) -> DataFrame:
     """One document of each group: the one whose id names the component. Of equal rows one stays; rows with a null id all stay."""
-    found = grouped(docs, id_col, text_col, shingle, radius, tile, similarity, exact).where("id is not null")
+    found = grouped(docs, id_col, text_col, shingle, radius, tile, similarity, exact, named=False).where("id is not null")
     marks = found.groupBy("id", "th").agg((F.first("id") != F.first("component_id")).alias("gone"), (F.count("*") > 1).alias("again"))
     marks = Stash(docs.sparkSession, "simhash").keep(marks.where("gone or again"))
     rows = carried(docs, id=F.col(id_col), th=F.xxhash64(text_col))
