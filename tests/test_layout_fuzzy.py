@@ -91,6 +91,17 @@ def test_bounded_distance_is_exact(spark):
         assert bad.count() == 0
 
 
+def test_distances_of_all_pairs(monkeypatch, spark):
+    """Blocks of keys give the pairs of a plain join, with repeated keys and nulls; equal values are compared once."""
+    monkeypatch.setattr(fuzzy, "BLOCK", 3)
+    rows = [(n % 37, ["ring", "rang", "bolt", "", "bring"][n % 5], n % 2) for n in range(60)] + [(None, "ring", 1), (7, "ring", None), (90, None, 1), (91, None, 1)]
+    df = spark.createDataFrame(rows, "k int, v string, g int")
+    got = sorted((tuple(r) for r in fuzzy.distances(df, "k", "v", "g", 2).collect()), key=repr)
+    one, two = df.selectExpr("k a", "v va", "g ga"), df.selectExpr("k b", "v vb", "g gb")
+    want = one.join(two, F.expr("a < b and ga = gb")).select("a", "b", fuzzy.distance(F.col("va"), F.col("vb"), F.lit(2)).alias("d"))
+    assert got == sorted((tuple(r) for r in want.collect()), key=repr) and len(got) > 800
+
+
 def test_boxes_are_checked(spark):
     base = [(1, 1, n, "word", 0, *box, True, 90.0, 0) for n, box in enumerate([(0.0, 0.0, 30.0, 20.0), (0.0, 0.0, 0.0, 20.0), (-1.0, 0.0, 30.0, 20.0), (0.0, 0.0, 999.0, 20.0), (float("nan"), 0.0, 30.0, 20.0)])]
     w = layout.with_offsets(spark.createDataFrame(base, COLS))

@@ -291,9 +291,7 @@ def normalize_ascii(spark, sf_dir):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, least(levenshtein(a.p_name, b.p_name), 3)::BIGINT AS d FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def bounded_distance(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    q = p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("nb"), F.col("p_size").alias("sb"))
-    return p.join(q, (F.col("p_size") == F.col("sb")) & (F.col("p_partkey") < F.col("b"))).select(F.col("p_partkey").alias("a"), "b", fuzzy.distance(F.col("p_name"), F.col("nb"), F.lit(2)).cast("long").alias("d"))
+    return fuzzy.distances(table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_size", 2).select("a", "b", F.col("d").cast("long"))
 
 
 @query("WITH e AS (SELECT item_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS t FROM benchmark) SELECT item_id, regexp_replace(t, '(the|on|les)', '<mark>\\1</mark>', 'gi') AS html FROM e")
