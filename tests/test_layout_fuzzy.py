@@ -110,6 +110,27 @@ def test_boxes_are_checked(spark):
     assert ok == [True, False, False, False, False]
 
 
+def test_words_are_not_dealt_again(spark):
+    """Only texts are dealt, once for each time they are read; words and their texts are joined in place."""
+    from veilspark import queries
+
+    plan = queries.valid_words(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    exchanges = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert exchanges and all("REPARTITION_BY_NUM" in x for x in exchanges)
+
+
+def test_offsets_are_checked(spark):
+    """Words whose places do not give their text are not valid; pages listed twice give a word twice, unlisted ones no size."""
+    box, schema = (0.0, 0.0, 9.0, 9.0), "doc_id int, page int, word_no int, text string, start int, end int, x0 double, y0 double, x1 double, y1 double"
+    rows = [(1, 1, 1, "a\U0001f600b", 0, 3, *box), (1, 1, 2, "cd", 4, 6, *box), (1, 1, 3, "cd", 5, 7, *box), (1, 1, 4, "cd", -1, 1, *box), (1, 1, 5, "", 2, 2, *box), (1, 2, 6, "cd", 4, 6, *box), (2, 1, 7, "cd", 4, 6, *box), (1, 1, 8, "cd", None, 6, *box), (1, 3, 9, "cd", 4, 6, *box)]
+    w = spark.createDataFrame(rows, schema)
+    texts = spark.createDataFrame([(1, "a\U0001f600b cd\n")], "doc_id int, text string")
+    pages = spark.createDataFrame([(1, 1, 20.0, 20.0), (1, 3, 20.0, 20.0), (1, 3, 4.0, 20.0), (2, 1, 20.0, 20.0)], "doc_id int, page int, width double, height double")
+    got = layout.valid_words(w, pages, texts)
+    assert got.columns == [*w.columns, "valid"]
+    assert sorted((r.word_no, r.valid) for r in got.collect()) == [(1, True), (2, True), (3, False), (4, False), (5, False), (6, False), (7, False), (8, False), (9, False), (9, True)]
+
+
 def test_rotations_are_undone(spark):
     # What a box [15, 20, 45, 40] of a 120 x 80 page becomes when the page is turned.
     turned = {90: (20, 75, 40, 105), 180: (75, 40, 105, 60), 270: (40, 15, 60, 45), 0: (15, 20, 45, 40)}

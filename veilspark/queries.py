@@ -329,7 +329,8 @@ def decode_western(spark, sf_dir):
 
 def words(spark, sf_dir):
     """All words of all documents, with made-up places: eight to a line, three lines to a page, every eleventh native."""
-    docs = documents(spark, sf_dir)
+    # Dealt by document while rows are texts: what follows is by document and more, and moves no words.
+    docs = documents(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     each = docs.select("doc_id", F.posexplode(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).alias("pos", "text"))
     p, col, row = F.col("pos"), (F.col("pos") % 8).cast("double"), F.floor(F.col("pos") / 8).cast("double")
     return each.select(
