@@ -238,3 +238,41 @@ def test_sample_files_are_what_the_queries_say(spark):
     got = {r.path for r in sample_files(spark, "/root/testdata/sf0.001", "zip", "txt").select("path").collect()}
     keys = [r.s_suppkey for r in spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").collect()]
     assert got == {f"/in/{k}.{kind}" for k in keys for kind in ("zip", "txt")}
+
+
+def test_lsa_scores_against_numpy(spark, monkeypatch):
+    """Scores of all three ways to the singular vectors, over more terms than RowMatrix solves in a minute."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(900)]
+    texts = [" ".join(rng.choice(vocab[t * 30 : t * 30 + 90]) for _ in range(40)) for t in range(24) for _ in range(6)]
+    parts = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk string, part string")
+    counts = search.term_counts(parts, "chunk", search.F.col("part"))
+    weights = {(r.chunk, r.term): r.w for r in search.weighted(counts, search.vocabulary(counts, len(texts)), "chunk").collect()}
+    terms = sorted({t for _, t in weights})
+    a = np.array([[weights.get((str(c), t), 0.0) for t in terms] for c in range(len(texts))])
+    asked = search.weighted(search.term_counts(search.query_of(spark, texts[7][:60]), "q", search.F.col("text")), search.vocabulary(counts, len(texts)), "q").collect()
+    q = np.zeros(len(terms))
+    for r in asked:
+        q[terms.index(r.term)] = r.w
+    v = np.linalg.svd(a, full_matrices=False)[2][:20].T
+    d, q = a @ v, q @ v
+    want = d @ q / np.linalg.norm(d, axis=1) / np.linalg.norm(q)
+    assert len(terms) > 4000
+    for whole in (1, 2048):
+        monkeypatch.setattr(search, "WHOLE", whole)
+        got = {r.chunk: r.score for r in search.lsa_scores(parts, texts[7][:60], 20).collect()}
+        assert len(got) == len(texts) and max(abs(got[str(c)] - w) for c, w in enumerate(want)) < 2e-6
+    # Few terms, many rows: the matrix of the terms.
+    of = {t: i for i, t in enumerate(sorted({t for _, t in weights if " " not in t}))}
+    rows = [([(of[t], w) for t, w in sorted((t, w) for (c, t), w in weights.items() if c == str(n) and t in of)],) for n in range(len(texts))]
+    right = search.right_vectors(spark.createDataFrame(rows, "v array<struct<i:int,w:double>>"), 10**6, len(of), 20)
+    b = np.zeros((len(rows), len(of)))
+    for n, (r,) in enumerate(rows):
+        for i, w in r:
+            b[n, i] = w
+    v = np.linalg.svd(b, full_matrices=False)[2][:20].T
+    assert np.abs(right @ right.T - v @ v.T).max() < 1e-6

@@ -19,6 +19,10 @@ CHUNK, STEP = 1800, 1620
 MAX_TERMS = 20_000
 MAX_QUERY = 4000
 DIMENSIONS = 96
+#: Chunks or terms up to which the matrix of their inner products is made and solved whole.
+WHOLE = 2048
+#: Further vectors beside those asked for, blocks of vectors kept at once, and the residual, as a share of the largest value.
+BESIDE, BLOCKS, TOLERANCE = 32, 4, 1e-9
 SNIPPET = 320
 
 
@@ -111,19 +115,98 @@ def search(records: DataFrame, query: str, limit: int = 100, minimum: float = 0.
     return best_hits(parts, tfidf_scores(parts, query), records, limit, minimum)
 
 
+def gram_times(rows: DataFrame, q):
+    """A'A q of rows (v: array of (i, w)) that make the matrix A; the blocks of each partition's part are added up on the executors."""
+    import numpy as np
+
+    size, wide = q.shape
+    step = -(-size // 16)
+    held = rows.sparkSession.sparkContext.broadcast(q)
+
+    def part(frames):
+        import pandas as pd
+
+        of, out = held.value, np.zeros((size, wide))
+        for pdf in frames:
+            for i, w in zip(pdf["i"], pdf["w"]):
+                out[i] += np.outer(w, w @ of[i])
+        yield pd.DataFrame({"at": range(0, size, step), "part": [out[at : at + step].tobytes() for at in range(0, size, step)]})
+
+    def added(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"at": pdf["at"][:1], "part": [sum(np.frombuffer(x) for x in pdf["part"]).tobytes()]})
+
+    parts = rows.select(F.col("v.i").alias("i"), F.col("v.w").alias("w")).mapInPandas(part, "at int, part binary")
+    got = sorted(parts.groupBy("at").applyInPandas(added, "at int, part binary").collect())
+    held.unpersist()
+    return np.concatenate([np.frombuffer(r["part"]).reshape(-1, wide) for r in got])
+
+
+def right_vectors(rows: DataFrame, n: int, size: int, k: int):
+    """size x k: the leading right singular vectors of n rows (v: array of (i, w)), each only if its value is over zero.
+
+    The smaller of the two matrices of inner products is solved whole up to WHOLE
+    rows; beyond that by a block Krylov method with restarts (Rayleigh-Ritz over
+    BLOCKS blocks), until the residuals of all k are under TOLERANCE.
+    """
+    import numpy as np
+
+    if n <= WHOLE:
+        held = rows.select(F.col("v.i").alias("i"), F.col("v.w").alias("w")).collect()
+        chunk = np.repeat(np.arange(len(held)), [len(r["i"]) for r in held])
+        term = np.concatenate([np.asarray(r["i"], dtype=np.int64) for r in held])
+        weight = np.concatenate([np.asarray(r["w"]) for r in held])
+        order = np.argsort(term, kind="stable")
+        inner = np.zeros((len(held), len(held)))
+        for at in np.split(order, np.flatnonzero(np.diff(term[order])) + 1):
+            inner[np.ix_(chunk[at], chunk[at])] += np.outer(weight[at], weight[at])
+        values, left = np.linalg.eigh(inner)
+        values, left = values[::-1][:k], left[:, ::-1][:, :k]
+        sure = values > values[0] * 1e-12
+        left = left[:, sure] / np.sqrt(values[sure])
+        right = np.zeros((size, left.shape[1]))
+        for c, r in enumerate(held):
+            right[r["i"]] += np.outer(r["w"], left[c])
+        return right
+    if size <= WHOLE:
+        values, vectors = np.linalg.eigh(gram_times(rows, np.eye(size)))
+        return vectors[:, ::-1][:, :k][:, values[::-1][:k] > values[-1] * 1e-12]
+    wide = min(k + BESIDE, size // (BLOCKS + 1))
+    basis = [np.linalg.qr(np.random.default_rng(0).standard_normal((size, wide)))[0]]
+    images = []
+    while True:
+        images.append(gram_times(rows, basis[-1]))
+        whole, image = np.hstack(basis), np.hstack(images)
+        inner = whole.T @ image
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, turn = values[::-1][:wide], turn[:, ::-1][:, :wide]
+        vectors, image = whole @ turn, image @ turn
+        residual = image - vectors * values
+        if np.linalg.norm(residual[:, :k], axis=0).max() <= TOLERANCE * values[0]:
+            return vectors[:, :k][:, values[:k] > values[0] * 1e-12]
+        more = residual
+        if len(basis) == BLOCKS:
+            basis, images, whole = [vectors], [image], vectors
+        else:
+            more = images[-1]
+        for _ in range(2):
+            more = np.linalg.qr(more - whole @ (whole.T @ more))[0]
+        basis.append(more)
+
+
 def lsa_scores(parts: DataFrame, query: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """(chunk, score) by latent semantic analysis: cosines in the space of the leading singular vectors.
 
-    The vectors are exact, so scores differ from a randomised method's in their
-    last digits. A corpus too small for two dimensions is scored by TF-IDF.
+    The vectors are those of the matrix itself, so scores differ from a
+    randomised method's in their last digits. A corpus too small for two
+    dimensions is scored by TF-IDF.
     """
     import numpy as np
-    from pyspark.mllib.linalg import SparseVector
-    from pyspark.mllib.linalg.distributed import RowMatrix
 
     n = parts.count()
     counts = term_counts(parts, "chunk", F.col("part"))
-    vocab = vocabulary(counts, n).withColumn("i", F.row_number().over(Window.orderBy("term")) - 1).persist()
+    vocab = vocabulary(counts, n).withColumn("i", (F.row_number().over(Window.orderBy("term")) - 1).cast("int")).persist()
     size = vocab.count()
     k = min(dimensions, n - 1, size - 1)
     if k < 2:
@@ -131,8 +214,7 @@ def lsa_scores(parts: DataFrame, query: str, dimensions: int = DIMENSIONS) -> Da
         return tfidf_scores(parts, query)
     place = vocab.select("term", "i")
     rows = weighted(counts, vocab.select("term", "idf"), "chunk").join(place, "term").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("v")).persist()
-    matrix = RowMatrix(rows.select("v").rdd.map(lambda r: SparseVector(size, [x[0] for x in r[0]], [x[1] for x in r[0]])))
-    right = np.asarray(matrix.computeSVD(k).V.toArray())  # size x k, MAX_TERMS x DIMENSIONS at most
+    right = right_vectors(rows, n, size, k)  # MAX_TERMS x DIMENSIONS at most
     asked = weighted(term_counts(query_of(parts.sparkSession, query), "q", F.col("text")), vocab.select("term", "idf"), "q").join(place, "term").select("i", "w").collect()
     q = sum((r["w"] * right[r["i"]] for r in asked), np.zeros(right.shape[1]))
     q = q / (np.linalg.norm(q) or 1.0)
@@ -144,12 +226,12 @@ def lsa_scores(parts: DataFrame, query: str, dimensions: int = DIMENSIONS) -> Da
         v, asked_ = held.value
         for pdf in frames:
             out = []
-            for x in pdf["v"]:
-                d = sum((r["w"] * v[r["i"]] for r in x), np.zeros(v.shape[1]))
+            for i, w in zip(pdf["i"], pdf["w"]):
+                d = w @ v[i]
                 out.append(float(d @ asked_ / (np.linalg.norm(d) or 1.0)))
             yield pd.DataFrame({"chunk": pdf["chunk"], "score": out})
 
-    out = rows.mapInPandas(cosine, "chunk string, score double")
+    out = rows.select("chunk", F.col("v.i").alias("i"), F.col("v.w").alias("w")).mapInPandas(cosine, "chunk string, score double")
     return out.select("chunk", score(F.col("score")).alias("score"))
 
 
