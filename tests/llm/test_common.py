@@ -43,3 +43,14 @@ def test_oracles(spark, name):
     near = lambda v: float(f"{v:.12g}") if isinstance(v, float) else v
     got = sorted((tuple(near(r[c]) for c in cols) for r in df.collect()), key=repr)
     assert got == sorted((tuple(near(r[have.index(c)]) for c in cols) for r in res.fetchall()), key=repr)
+
+
+def test_drivers_heap_is_given_back(spark):
+    """Garbage is collected where the heap takes more than its share, and not before."""
+    from veilspark.llm.common import trim_driver
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    runs = lambda: sum(b.getCollectionCount() for b in beans)
+    before = runs()
+    assert not trim_driver(spark, 1.0) and trim_driver(spark, 0.0)
+    assert runs() > before
