@@ -209,6 +209,18 @@ def test_search_and_summary(spark):
     assert len(out[1].split("\n")) == 2 and all(s in text for s in out[1].split("\n")) and out[2] == out[3] == ""
 
 
+def test_search_reads_whole_texts(spark):
+    long = "filler words about nothing " * 12_000 + "the payment of a distant supplier"
+    docs = spark.createDataFrame([(1, "", long), (2, "", "A football match was played."), (3, "", None)], "id long, name string, text string")
+    for find in (search.lsa_search, search.search):
+        hit = find(docs, "distant supplier").orderBy("rank").first()
+        assert hit.id == 1 and "distant supplier" in long[hit.chunk_offset - 1 :][:1800] and hit.chunk_offset > 250_000
+    texts = ["", " \n", "é" * 5, "x" * 1620, "😀 y" * 541, "ab c" * 26_000, "ab c" * 26_320 + "z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = sorted(tuple(r) for r in search.chunks(df, F.col("t"), "id").collect())
+    assert got == [(n, i, t[i : i + 1800]) for n, t in enumerate(texts) for i in range(0, len(t), 1620) if t[i : i + 1800].strip()]
+
+
 def test_globs(spark):
     df = spark.createDataFrame([("a/b.tmp",), ("x/.env",), ("keep/me.txt",), ("log1",)], "p string")
     got = [r.p for r in df.where(~T.excluded(F.col("p"), ("*.tmp", ".env", "log[0-9]"))).collect()]

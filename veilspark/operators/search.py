@@ -16,6 +16,8 @@ from ..functions.catalog import MAX_TEXT, InputError
 from ..functions.text import SPACE, WORD_CHARS, stripped, without_accents
 
 CHUNK, STEP = 1800, 1620
+#: Windows of a block.
+BLOCK = 64
 MAX_TERMS = 20_000
 MAX_QUERY = 4000
 DIMENSIONS = 96
@@ -27,11 +29,13 @@ SNIPPET = 320
 
 
 def chunks(df: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """(keep..., offset, part): windows of CHUNK code points every STEP, blank ones left out, of the first MAX_TEXT."""
-    cut = F.substring(text, 1, MAX_TEXT)
-    each = df.select(*keep, cut.alias("_t")).where("_t <> ''")
-    each = each.select(*keep, "_t", F.explode(F.sequence(F.lit(0), F.length("_t") - 1, F.lit(STEP))).alias("offset"))
-    each = each.select(*keep, "offset", F.substr("_t", F.col("offset") + 1, F.lit(CHUNK)).alias("part"))
+    """(keep..., offset, part): windows of CHUNK code points every STEP over the whole text, blank ones left out."""
+    each = df.select(*keep, text.alias("_t")).where("_t <> ''")
+    # Long texts are cut into blocks of windows first: a window is looked for from its block's start, not the text's.
+    each = each.select(*keep, "_t", F.explode(F.sequence(F.lit(0), F.length("_t") - 1, F.lit(STEP * BLOCK))).alias("_at"))
+    each = each.select(*keep, "_at", F.substr("_t", F.col("_at") + 1, F.lit(STEP * (BLOCK - 1) + CHUNK)).alias("_b"), F.least(F.length("_t") - F.col("_at"), F.lit(STEP * BLOCK)).alias("_n"))
+    each = each.select(*keep, "_at", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(STEP))).alias("_i"))
+    each = each.select(*keep, (F.col("_at") + F.col("_i")).alias("offset"), F.substr("_b", F.col("_i") + 1, F.lit(CHUNK)).alias("part"))
     return each.where(stripped(F.col("part")) != "")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import oracles as O
 from .functions import spans as S
 from .functions import text as T
+from .functions.catalog import MAX_TEXT
 from .operators import detect as D
 from .operators import fuzzy, gates, layout, search, store
 from .sources import archives, files, images, office
@@ -216,7 +217,7 @@ def truncate_text(spark, sf_dir):
 
 @query("SELECT doc_id, off::BIGINT AS off, part FROM (SELECT doc_id, off, substr(text, off + 1, 1800) AS part FROM (SELECT doc_id, text, unnest(range(0, length(text), 1620)) AS off FROM (SELECT doc_id, substr(text, 1, 250000) AS text FROM documents))) WHERE trim(part, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
 def text_chunks(spark, sf_dir):
-    return search.chunks(documents(spark, sf_dir), F.col("text"), "doc_id").select("doc_id", F.col("offset").cast("long").alias("off"), "part")
+    return search.chunks(documents(spark, sf_dir), F.substring("text", 1, MAX_TEXT), "doc_id").select("doc_id", F.col("offset").cast("long").alias("off"), "part")
 
 
 NAMES = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN replace(url, '/', chr(92)) WHEN 2 THEN 'con.' || page_id || '.txt' WHEN 3 THEN ' a*b?' || page_id || '<c>. ' WHEN 4 THEN 'dir/' || repeat('x', 150) || page_id ELSE url || '/' END AS name FROM pages"
