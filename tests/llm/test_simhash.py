@@ -1,5 +1,6 @@
 """Fingerprints and links against plain loops."""
 
+import os
 import random
 
 import numpy as np
@@ -214,3 +215,47 @@ def test_exact_links_against_all_pairs(monkeypatch, spark, sampled):
     got = simhash.near_duplicates(df, shingle=5, radius=18, similarity=0.8, exact=True).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(texts))}
     assert 20 < len({find(i) for i in range(len(texts))}) < len(texts) - 20
+
+
+def test_pairs_of_one_chance_shingle_go(spark):
+    """Two of the first shingles are shared, or all of a set of one, or a hundredth of the smaller set."""
+    rows = [(1, 2, 200, 200, 5), (1, 3, 200, 200, 9), (1, 3, 200, 200, 40), (4, 5, 1, 1, 0), (6, 7, 200, 150, 1), (6, 7, 200, 150, 2), (8, 9, 200, 200, 50), (8, 9, 200, 200, 60), (10, 11, 300, 310, 1), (10, 11, 300, 310, 2)]
+    got = simhash.sharing(spark.createDataFrame(rows, "a long, b long, n int, m int, at int"), 0.8)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 3), (4, 5)]
+
+
+def test_exact_groups_of_short_and_long_texts_by_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    for n in [*range(1, 16), 40, 120, 400] * 3:
+        words = rng.integers(0, 50, n).astype(str)
+        texts.append(" ".join(words))
+        for _ in range(3):
+            other = words.copy()
+            other[rng.integers(0, n, max(1, n // 60))] = "x"
+            texts.append(" ".join([*other, *["end"] * rng.integers(0, 2)]))
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 54 < len(set(root)) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.near_duplicates(df, shingle=5, similarity=0.8, exact=True)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(root))
+
+
+def test_only_what_results_read_stays_on_disk(spark):
+    from veilspark.llm import linededup
+    from veilspark.llm.common import Stash
+
+    text = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(i, f"{text} {i}\n{text[:200]}") for i in range(20)], "doc_id long, text string")
+    for run in (lambda: simhash.keep_first(df, shingle=5, similarity=0.8, exact=True), lambda: linededup.dedup_lines(df, short=True)):
+        mark = len(Stash.live)
+        out = run()
+        roots = [s.root.removeprefix("file://") for s in Stash.live[mark:]]
+        left = [os.path.join(r, x) for r in roots if os.path.isdir(r) for x in os.listdir(r)]
+        assert len(left) == 1 and 0 < out.count() <= 20

@@ -19,10 +19,12 @@ With `exact`, a link is a pair whose sets of shingles have that Jaccard
 similarity (of 64-bit shingle hashes); the radius plays no part, fingerprints are
 taken over distinct shingles and are only returned. No such pair is lost:
 
-1. Of the sets, in one order of all shingles, two with similarity s share one of
-   the first n - ceil(s n) + 1 of their n shingles (Chaudhuri et al. 2006), so a
-   text is entered under those. Any order is complete; shingles that a sample of
-   texts has several times go last, so that frequent passages make few pairs.
+1. Of the sets, in one order of all shingles, two with similarity s share k of
+   the first n - ceil(s n) + k of their n shingles (Wang et al. 2012), so a text is
+   entered under those; k is two, or a hundredth of the smaller set (`sharing`). Any order is complete; shingles that a
+   sample of texts has several times go last, so that frequent passages make few
+   pairs. Pairs that share one by chance, which grow with the square of the texts,
+   go before anything of the texts is joined to them.
 2. Texts of a shingle are first compared with the least of them alone, then, if
    still in different components, with each other. A pair passes if its sizes, the
    shingle's places and signatures of the sets allow the similarity: all bounds.
@@ -255,13 +257,17 @@ def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
 
 #: Texts, about, whose shingles are counted to put frequent ones last, and how many of those are remembered. Any order is exact.
 SAMPLED, FREQUENT = 20_000, 250_000
+#: One of so many texts is sampled, at least: of a fixed number of texts, more and more shingles would be frequent and not known to be.
+EVERY = 16
+#: Shingles that two texts must share among their first ones: so many, or a hundredth of the smaller set if that is more; all of a set of fewer.
+SHARED, SHARE = 2, 100
 #: Bits of a set's signature, in integers of 64.
 SIGNED = 16
 
 
 def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, how often) of shingles that several of a sample of different texts have; docs: (id, th, text)."""
-    every = max(1, docs.count() // SAMPLED)
+    every = max(1, min(EVERY, docs.count() // SAMPLED))
     some = docs.where(F.pmod("th", F.lit(every)) == 0).select("th", F.col("text").cast("binary").alias("raw")).dropDuplicates(["th"])
 
     def cut(frames):
@@ -277,13 +283,13 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def first_shingles(own: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The shingles of a sorted set of which one is shared with every set of that similarity: the first by frequency, then hash."""
+    """The shingles of a sorted set of which as many as `sharing` asks for are shared with every set of that similarity: the first by frequency, then hash."""
     hashes, times = known
     rank = np.zeros(len(own), np.int64)
     if len(hashes):
         at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
         rank = np.where(hashes[at] == own, times[at], 0)
-    most = len(own) - math.ceil(similarity * len(own) - 1e-6) + 1
+    most = len(own) - math.ceil(similarity * len(own) - 1e-6) + max(SHARED, len(own) // SHARE)
     return own[np.argsort(rank, kind="stable")[:most]]
 
 
@@ -344,6 +350,15 @@ def linked(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, stas
     return out
 
 
+def sharing(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), each once, from a row for each shingle that both have among their first ones; n and m are the sizes, at the sum of the shingle's places. Pairs that share too few, or whose sizes or first shared shingle rule the similarity out, go."""
+    n, m = F.col("n"), F.col("m")
+    near = pairs.where(F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6)
+    # A pair's sizes are the same in all its rows. What stands before the first shared shingle is not shared.
+    both = near.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("at").alias("at"), F.min(F.least(n, m)).alias("least"), F.min(n + m).alias("sum"))
+    return both.where((F.col("c") >= F.least("least", F.greatest(F.lit(SHARED), F.floor(F.col("least") / SHARE)))) & (F.col("at") <= F.col("sum") * (1 - similarity) / (1 + similarity) + 1e-6)).select("a", "b")
+
+
 def candidates(docs: DataFrame, every: DataFrame, size: int, similarity: float, stash: Stash) -> DataFrame:
     """(node, root): components, by text hash, of links that connect all texts with that similarity; docs: (id, th, text), every: their `outlines`."""
     bits = [f"s{k}" for k in range(SIGNED)]
@@ -357,34 +372,30 @@ def candidates(docs: DataFrame, every: DataFrame, size: int, similarity: float,
     signed = every.join(shared.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.min("n").alias("n"), *[F.min(c).alias(c) for c in bits])
     signed = stash.keep(signed)
 
-    def allowed(n: Column, m: Column, at: Column, to: Column) -> Column:
-        # What stands before the first shared shingle is not shared.
-        return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (at + to <= (n + m) * apart + 1e-6)
-
     def passed(pairs: DataFrame) -> DataFrame:
         one = signed.select(F.col("th").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"{c}_a") for c in bits])
         two = signed.select(F.col("th").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"{c}_b") for c in bits])
         differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-        both = pairs.distinct().join(one, "a").join(two, "b")
+        both = pairs.join(one, "a").join(two, "b")
         both = both.where(differ <= (F.col("na") + F.col("nb")) * apart + 1e-6)
         both = stash.keep(both.select("a", "b", (F.col("na") + F.col("nb") > 3 * 64 * SIGNED).alias("long")))
         long = linked(both.where("long").select("a", "b"), docs, size, similarity, stash)
         return both.where("not long").select("a", "b").unionByName(long)
 
-    lead = shared.groupBy("key").agg(F.min(F.struct("th", "n", "at")).alias("l"))
-    first = shared.join(lead, "key").where((F.col("th") != F.col("l.th")) & allowed(F.col("n"), F.col("l.n"), F.col("at"), F.col("l.at")))
-    found = passed(first.select(F.col("l.th").alias("a"), F.col("th").alias("b")))
+    lead = shared.select("*", F.min(F.struct("th", "n")).over(same).alias("l")).where("th <> l.th")
+    found = passed(sharing(lead.select(F.col("l.th").alias("a"), F.col("th").alias("b"), "n", F.col("l.n").alias("m"), F.lit(0).alias("at")), similarity))
     roots = components(found, stash)
     rest = shared.join(roots.select(F.col("node").alias("th"), "root"), "th", "left").withColumn("root", F.coalesce("root", "th"))
-    several = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).where("low <> high and c > 2")
-    rest = stash.keep(rest.join(several.select("key"), "key", "left_semi"))
-    other = rest.select("key", F.col("th").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("root_b"))
-    more = rest.join(other, "key").where((F.col("root") < F.col("root_b")) & allowed(F.col("n"), F.col("m"), F.col("at"), F.col("to")))
-    more = passed(more.select(F.least("th", "b").alias("a"), F.greatest("th", "b").alias("b")))
+    rest = rest.select("*", (F.min("root").over(same) != F.max("root").over(same)).alias("several")).where("several").drop("several")
+    rest = stash.keep(rest)
     stash.drop(shared)
-    if not more.limit(1).count():
-        return roots
-    return components(found.unionByName(more), stash)
+    other = rest.select("key", F.col("th").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("root_b"))
+    more = rest.join(other, "key").where("root < root_b")
+    more = passed(sharing(more.select(F.least("th", "b").alias("a"), F.greatest("th", "b").alias("b"), "n", "m", (F.col("at") + F.col("to")).alias("at")), similarity))
+    out = roots
+    if more.limit(1).count():
+        out = components(found.unionByName(more), stash)
+    return out
 
 
 def same_sets(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
@@ -437,16 +448,19 @@ def verified(docs: DataFrame, members: DataFrame, shingle: int, similarity: floa
 def alike_groups(docs: DataFrame, shingle: int, similarity: float, named: bool, stash: Stash) -> DataFrame:
     """(id, th, component_id, and fp if named) of each document (id, th, text), whose components are those of verified links."""
     every = stash.keep(outlines(docs, shingle, similarity, named))
-    reps = stash.keep(every.groupBy("th").agg(F.min("id").alias("id")))
+    own = stash.keep(every.select("id", "th", *["fp"] * named))
+    reps = stash.keep(own.groupBy("th").agg(F.min("id").alias("id")))
     roots = candidates(docs, every, shingle, similarity, stash)
+    stash.clear(own, reps, roots)
     members = reps.join(roots.withColumnRenamed("node", "th"), "th").select("id", "th", F.col("root").alias("comp"))
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
     members = stash.keep(members.join(sizes, "comp"))
     roots = components(verified(docs, members, shingle, similarity, stash), stash)
     of = reps.join(roots.withColumnRenamed("node", "th"), "th", "left").select("id", "th", F.coalesce("root", "th").alias("root"))
     of = stash.keep(of)
+    stash.clear(own, of)
     names = of.groupBy("root").agg(F.min("id").alias("component_id"))
-    return every.select("id", "th", *["fp"] * named).join(of.join(names, "root").select("th", "component_id"), "th")
+    return own.join(of.join(names, "root").select("th", "component_id"), "th")
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, tile: int | None, similarity: float | None, exact: bool, named: bool = True) -> DataFrame:
@@ -473,9 +487,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int | None = None, similarity: float | None = None, exact: bool = False) -> DataFrame:
     """One document of each group: the one whose id names the component. Of equal rows one stays; rows with a null id all stay."""
+    mark = len(Stash.live)
     found = grouped(docs, id_col, text_col, shingle, radius, tile, similarity, exact, named=False).where("id is not null")
+    made = Stash.live[mark:]
     marks = found.groupBy("id", "th").agg((F.first("id") != F.first("component_id")).alias("gone"), (F.count("*") > 1).alias("again"))
     marks = Stash(docs.sparkSession, "simhash").keep(marks.where("gone or again"))
+    for stash in made:
+        stash.clear()
     rows = carried(docs, id=F.col(id_col), th=F.xxhash64(text_col))
     kept = rows.join(marks.where("gone").select("id", "th"), ["id", "th"], "left_anti")
     if marks.where("again and not gone").limit(1).count():
